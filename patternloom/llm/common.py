@@ -97,7 +97,7 @@ def write_whole(uri: str, pieces) -> int:
 def input_mb(df: DataFrame) -> float:
     """Size of the files behind df's scan as the optimizer knows it, in MB; used only to set numbers of partitions."""
     stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(float(stats.toString()) / 1e6, 1e12)
+    return min(float(str(stats)) / 1e6, 1e12)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
