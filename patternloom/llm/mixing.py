@@ -86,7 +86,7 @@ def low_discrepancy_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
     )
 
     # positions in the source's stream
-    buckets = max(1, sum(r["rows"] for r in per_source) // 50_000)
+    buckets = max(256, sum(r["rows"] for r in per_source) // 50_000)
     rows = rows.join(F.broadcast(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(h, 33) * {buckets} / {1 << 31} as long)"))
     bases = rows.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
