@@ -270,7 +270,8 @@ def _late_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, look: int = 8, small_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, class_size (rows with an equal set)."""
+    """Per row: id, n_shingles, component_id, class_size (rows with an equal set), row (hash of id and text), component
+    (its key; null for sets that can't have a partner)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
     bits = bucket_bits(input_mb(docs), keys_per_bucket=300_000)
@@ -288,14 +289,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, look: int
     release(docs.sparkSession)
     named = classes.join(roots, "node", "left").select("node", "least", "class_size", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("node", "component_id", "class_size")
+    found = named.join(least, "root").select("node", "component_id", "class_size", "root")
     out = sets.join(found, "node", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        "row", F.col("root").alias("component"),
     )
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component: that with the least id (a null id last), then the least hash."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    best = F.min(F.struct(F.col(id_col).isNull(), id_col, "row")).alias("best")
+    kept = saved(found.where("component is not null").groupBy("component").agg(best).select("best.row"), "kept")
+    alone = found.where("component is null").select("row")
+    rows = docs.withColumn("_row", F.xxhash64(F.col(id_col), text)).join(kept.unionByName(alone), F.col("_row") == F.col("row"), "left_semi")
+    return rows.dropDuplicates(["_row"]).select(*docs.columns)
+
+
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_shingles", "component_id")
