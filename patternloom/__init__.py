@@ -1,0 +1 @@
+"""patternloom: event-pattern queries on Spark DataFrames."""
