@@ -14,7 +14,7 @@ from .functions.compile import Compiler
 from .operators.join import join
 from .operators.matching import Settings, event_scope, select, strict
 from .operators.pipes import Pipes
-from .operators.relations import related
+from .operators.relations import related, relations_of
 from .operators.sample import sample
 from .operators.sequence import sequence
 from .plans.check import Checker
@@ -73,6 +73,8 @@ class Rule:
     def frame(self, events: DataFrame, binding: EventBinding = EventBinding()) -> DataFrame:
         """Matches as `ord` and `event`, or `events` for sequence, join and sample."""
         settings, query = self.settings(binding), self.query
+        if not relations_of(query):
+            events = binding.only(events, {s.type for s in (*query.stages, *([query.until] if query.until else []))})
         bound = binding.bind(events, self.groups or bool(query.pipes))
         bound, columns = related(bound, query, settings)
         if self.groups:

@@ -113,14 +113,13 @@ def contains(a: Value, b: Value, fold: bool) -> Value:
     return boolean(F.coalesce(out.col, F.lit(False)), out.error)
 
 
-@F.pandas_udf("string")
 def _repr(x):
     return x.map(lambda v: None if v is None else repr(float(v)), na_action="ignore").where(x.notna(), None)
 
 
 def float_text(col: Column) -> Column:
-    """A double as Python writes it. Whole numbers below 1e15 and short decimals are written by Spark, the rest by Python."""
-    return _repr(col)
+    """A double as Python writes it, which Spark does not for large and small numbers."""
+    return F.pandas_udf(_repr, T.StringType(), 200)(col)
 
 
 def text_of(v: Value) -> Value:
@@ -130,11 +129,10 @@ def text_of(v: Value) -> Value:
     if v.kind == "float":
         return string(float_text(v.col), v.error)
     if v.kind in ("array", "object"):
-        return string(_nested(F.to_json(v.col)), v.error)
+        return string(F.pandas_udf(_nested, T.StringType(), 200)(F.to_json(v.col, {"ignoreNullFields": "false"})), v.error)
     return string(v.col.cast("string"), v.error)
 
 
-@F.pandas_udf("string")
 def _nested(text):
     import json
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.compile import Compiler, Scope, columns
-from ..functions.values import Value, folded, typed
+from ..functions.values import Value, folded, truth, typed
 from ..plans.nodes import Relation, Stage
 from ..sources.binding import EventBinding
 
@@ -56,7 +56,11 @@ def stage_test(stage: Stage, compiler: Compiler) -> Column:
 
 def select(df: DataFrame, stage: Stage, settings: Settings, relations: dict[Relation, Column]) -> DataFrame:
     """Single-event queries: one filter."""
-    return df.where(stage_test(stage, Compiler(event_scope(df, settings, relations))))
+    compiler = Compiler(event_scope(df, settings, relations))
+    v = compiler.value(stage.where)
+    if v.error is None:  # null drops a row as false does, and a bare predicate reaches the scan
+        return df.where(fits(stage) & truth(v))
+    return df.where(stage_test(stage, compiler))
 
 
 def key_column(values: list[Value], fold: bool) -> Column:

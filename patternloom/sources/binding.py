@@ -47,6 +47,13 @@ class EventBinding:
             return F.unix_micros(F.col(name).cast("timestamp")) * 10
         return F.coalesce(F.col(name).try_cast("double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "long").cast("long"), F.lit(0).cast("long")) * UNITS[self.time_unit]
 
+    def only(self, df: DataFrame, types: set[str]) -> DataFrame:
+        """df with no rows of other event types where one column tells the type, as a filter that reaches the scan."""
+        name = self.type_col or ("event_type" if "event_type" in df.columns and "event_type_full" not in df.columns else None)
+        if name is None or types & {"any", "generic"} or not isinstance(df.schema[name].dataType, T.StringType):
+            return df
+        return df.where(F.col(name).isin(*sorted(types)))
+
     def bind(self, df: DataFrame, ordered: bool = True) -> DataFrame:
         order = self.order_cols or tuple(c for c in (self.time_col or "timestamp",) if c in df.columns)
         if ordered and not order:
