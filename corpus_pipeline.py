@@ -6,7 +6,6 @@ files' digests. Stages are written as Parquet in the shared folder and read agai
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from patternloom.llm import decontaminate, jaccard_join, language_id, mixing, token_files
 from patternloom.llm.common import saved, workspace
@@ -15,7 +14,7 @@ from patternloom.llm.common import saved, workspace
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from all labelled rows; texts without letters and ambiguous texts go."""
     judged = language_id.identify(docs, language_id.learn(docs))
-    return judged.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    return judged.where("judged.lang_pred <> 'und' and not judged.ambiguous").select(*docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +24,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold windows of two or more benchmark items go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rest = [c for c in docs.columns if c not in ("doc_id",)]
-    return decontaminate.contamination(docs, items, keep=rest).where(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.contamination(docs, items, keep=docs.columns).where("not contaminated").select("kept.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

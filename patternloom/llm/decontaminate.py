@@ -143,7 +143,7 @@ def blocks_of(items: DataFrame, item_col: str, text_col: str, window: int, shing
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 8, shingle: int = 3, min_items: int = 2, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: list[str] | None = None) -> DataFrame:
-    """Per document row: id, n_words, n_hit, n_items, items (sorted names), contaminated; and the columns in keep."""
+    """Per document row: id, n_words, n_hit, n_items, items (sorted names), contaminated; and `kept`, a struct of the columns in keep."""
     spark, blocks = docs.sparkSession, []
     for block in blocks_of(items, item_col, text_col, window, shingle, block_words):
         probe = spark.sparkContext.broadcast(block)
@@ -164,14 +164,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, shingle: i
         probe.unpersist()
         block.choose(frequency)
         blocks.append(spark.sparkContext.broadcast(block))
-    keep = keep or []
+    passed = ["_id", *(["kept"] if keep else [])]
 
     def judge(batches):
         import pyarrow as pa
 
         for batch in batches:
             rows = []
-            for text in byte_column(batch, text_col):
+            for text in byte_column(batch, "_text"):
                 words = words_of(text)
                 hit, names = np.zeros(len(words) + 1, np.int64), set()
                 for shared in blocks:
@@ -184,15 +184,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 8, shingle: i
                 rows.append((len(words), int((np.cumsum(hit)[: len(words)] > 0).sum()), sorted(names)))
             n_words, n_hit, names = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in [id_col, *keep]), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
+                [*(batch.column(batch.schema.get_field_index(c)) for c in passed), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()),
                  pa.array(names, pa.list_(pa.string())), pa.array([len(x) >= min_items for x in names], pa.bool_())],
-                [id_col, *keep, "n_words", "n_hit", "n_items", "items", "contaminated"],
+                [*passed, "n_words", "n_hit", "n_items", "items", "contaminated"],
             )
 
-    own = docs.select(*dict.fromkeys([id_col, *keep, text_col]))
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [id_col, *keep]), "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"])
-    return own.mapInArrow(judge, schema)
+    own = docs.select(F.col(id_col).alias("_id"), *([F.struct(*keep).alias("kept")] if keep else []), F.col(text_col).alias("_text"))
+    schema = ", ".join([*(f"{c} {own.schema[c].dataType.simpleString()}" for c in passed), "n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"])
+    return own.mapInArrow(judge, schema).withColumnRenamed("_id", id_col)
 
 
 def item_digest(names: list[str]) -> str:

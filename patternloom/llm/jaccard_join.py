@@ -305,7 +305,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col(id_col).isNull(), id_col, "row")).alias("best")
     kept = saved(found.where("component is not null").groupBy("component").agg(best).select("best.row"), "kept")
     alone = found.where("component is null").select("row")
-    rows = docs.withColumn("_row", F.xxhash64(F.col(id_col), text)).join(kept.unionByName(alone), F.col("_row") == F.col("row"), "left_semi")
+    rows = docs.withColumn("_row", F.xxhash64(F.col(id_col), text)).join(kept.unionByName(alone).withColumnRenamed("row", "_row"), "_row", "left_semi")
     return rows.dropDuplicates(["_row"]).select(*docs.columns)
 
 

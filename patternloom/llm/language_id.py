@@ -73,6 +73,8 @@ class Model:
 
     def __init__(self, languages: list[str], counts: np.ndarray, smooth: float = 0.5):
         self.languages, self.code = languages, codebook(len(languages))
+        if not languages:
+            return
         p = (counts + smooth) / (counts.sum(1, keepdims=True) + smooth * counts.shape[1])
         weights = []
         for bit in self.code.T:
@@ -135,7 +137,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: Model, gap: float = 0.1, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, ambiguous. The model is broadcast: languages * 2^15 features, whatever the input."""
+    """docs with `judged`, a struct of lang_pred, score and ambiguous. The model is broadcast: languages * 2^15 features, whatever the input."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -145,11 +147,11 @@ def identify(docs: DataFrame, model: Model, gap: float = 0.1, text_col: str = "t
         rows = [shared.value.judge(t) for t in text]
         return pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "ambiguous": [r[0] != "und" and r[2] < gap for r in rows]})
 
-    return docs.withColumn("_judged", judged(text_col)).select(*docs.columns, "_judged.*")
+    return docs.withColumn("judged", judged(text_col))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn(docs.where(~held_out()))
     out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", held_out().alias("held_out"), "judged.*")

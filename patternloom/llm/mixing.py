@@ -156,9 +156,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     Documents without words carry no weight and stay once."""
     documents, _ = low_discrepancy_mix(docs, id_col=id_col, text_col=text_col, **options)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    copies = saved(documents.groupBy("h").agg(F.max(copies).alias("_copies")).where("_copies > 0"), "copies")
-    keyed = docs.withColumn("h", F.xxhash64(F.lit(options.get("seed", 42)), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(copies, "h").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    copies = saved(documents.groupBy(F.col("h").alias("_h")).agg(F.max(copies).alias("_copies")).where("_copies > 0"), "copies")
+    keyed = docs.withColumn("_h", F.xxhash64(F.lit(options.get("seed", 42)), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    return keyed.join(copies, "_h").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

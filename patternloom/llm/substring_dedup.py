@@ -182,7 +182,8 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     """Per row: id, n_words, n_removed, kept_text (kept words joined by one space), spans removed; and the columns in keep."""
     keep, block = keep or [], (window + 1) // 2
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("_id"), *keep, F.xxhash64(F.col(id_col), text).alias("row"), F.crc32(text.cast("binary")).alias("check"), text.alias("text"))
+    kept = [F.struct(*keep).alias("_kept")] if keep else []
+    rows = docs.select(F.col(id_col).alias("_id"), *kept, F.xxhash64(F.col(id_col), text).alias("row"), F.crc32(text.cast("binary")).alias("check"), text.alias("text"))
     bits = bucket_bits(input_mb(docs))
     anchors = saved(_anchors(rows.select("row", "text"), window, block, bits), "anchors")
     repeats = saved(_repeats(rows, anchors, window, block, bits), "repeats")
@@ -205,14 +206,15 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 removed.append(len(split) - len(left))
                 texts.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(at(c)) for c in ["_id", *keep]), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(at("starts")), batch.column(at("ends"))],
-                [id_col, *keep, "n_words", "n_removed", "kept_text", "starts", "ends"],
+                [*(batch.column(at(c)) for c in passed), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), batch.column(at("starts")), batch.column(at("ends"))],
+                [*passed, "n_words", "n_removed", "kept_text", "starts", "ends"],
             )
 
-    joined = rows.join(repeats, ["row", "check"], "left").select("_id", *keep, "text", "starts", "ends")
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema}
-    own = [f"`{id_col}` {kinds['_id']}", *(f"`{c}` {kinds[c]}" for c in keep)]
-    return joined.mapInArrow(cut, ", ".join([*own, "n_words long, n_removed long, kept_text string, starts array<int>, ends array<int>"]))
+    passed = ["_id", *(["_kept"] if keep else [])]
+    joined = rows.join(repeats, ["row", "check"], "left").select(*passed, "text", "starts", "ends")
+    schema = ", ".join([*(f"{c} {joined.schema[c].dataType.simpleString()}" for c in passed), "n_words long, n_removed long, kept_text string, starts array<int>, ends array<int>"])
+    out = joined.mapInArrow(cut, schema)
+    return out.select(F.col("_id").alias(id_col), *(["_kept.*"] if keep else []), "n_words", "n_removed", "kept_text", "starts", "ends")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
