@@ -38,20 +38,20 @@ class Options:
     schema: EventSchema | None = None
     strict_booleans: bool = False
     non_nullable: bool = False
-    elasticsearch: bool = False
+    extended: bool = False
     validate_optional: bool = False
-    endpoint: bool = False
+    scoped: bool = False
     allow_sample: bool = False
     allow_negation: bool = False
     allow_runs: bool = False
     allow_enum: bool = False
     implied_any: bool = False
     implied_base: bool = False
-    data_source: str = ""  # "endgame": process lifecycle by opcode
+    lifecycle: str = "subtype"  # or "opcode": which field tells that a process starts or ends
 
     @property
     def dialect(self) -> Dialect:
-        return Dialect(self.elasticsearch, self.endpoint, self.allow_sample, self.allow_negation, self.allow_runs, self.implied_any, self.implied_base)
+        return Dialect(self.extended, self.scoped, self.allow_sample, self.allow_negation, self.allow_runs, self.implied_any, self.implied_base)
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ class Rule:
     name: str = ""
 
     def settings(self, binding: EventBinding) -> Settings:
-        return Settings(binding, not self.options.case_sensitive, self.options.endpoint, self.options.data_source == "endgame")
+        return Settings(binding, not self.options.case_sensitive, self.options.scoped, self.options.lifecycle == "opcode")
 
     @property
     def groups(self) -> bool:
@@ -107,7 +107,7 @@ def compile(text: str, options: Options = Options(), name: str = "") -> Rule:  #
         query = SchemaChecker(options.schema, options, full).query(query)
     elif options.allow_enum:
         raise QueryError("enum fields need a schema", kind="semantic")
-    query = Folder(not options.case_sensitive, not options.elasticsearch)(query)
+    query = Folder(not options.case_sensitive, not options.extended)(query)
     return Rule(full, checker.query(query), options, name)
 
 
@@ -116,7 +116,7 @@ def expression(text: str, events: DataFrame, options: Options = Options(), bindi
     node = parse_expression(text, options.dialect)
     Checker(text).expression(node)
     bound = binding.bind(events, False)
-    value = Compiler(event_scope(bound, Settings(binding, not options.case_sensitive, options.endpoint))).value(node)
+    value = Compiler(event_scope(bound, Settings(binding, not options.case_sensitive, options.scoped))).value(node)
     out = value.col if value.error is None else F.when(value.error.isNotNull(), F.raise_error(value.error).cast(value.dtype)).otherwise(value.col)
     return bound.select("event.*", out.alias("value"))
 

@@ -87,7 +87,7 @@ SELECT v.event_id AS first_id, y.event_id AS last_id FROM y JOIN x v ON v.user_i
 WHERE y.event_type = 'purchase' {consumed} {extra}"""
 
 
-ES = Options(elasticsearch=True, allow_sample=True, allow_negation=True, allow_runs=True)
+ES = Options(extended=True, allow_sample=True, allow_negation=True, allow_runs=True)
 
 _HOSTS = "list_sort(list_distinct(list(hostname))) AS hosts, CAST(count(DISTINCT hostname) AS INTEGER) AS total_hosts"
 
@@ -138,10 +138,10 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
     "array_index": (_events("any where tags[1] == 'u0' and tags[7] == null and value < 9"), _where("user_id % 3 = 0 AND value < 9")),
     "method_call": (_events("any where name:length() == 5 or name:endsWith('e_1')"), _where("length(name) = 5 OR ends_with(lower(name), 'e_1')")),
     "string_enum": (_events("any where event_type.view and value < 2"), _where("event_type = 'view' AND value < 2")),
-    "es_string_predicates": (_events('any where name : ("view_*", "*_7") and name like "v*" and name regex "view_[0-4]"', options=ES), _where("regexp_matches(name, '(?i)^view_[0-4]')")),
-    "es_in_tilde": (_events('any where name in~ ("VIEW_1", "click_1")', options=ES), _where("lower(name) IN ('view_1', 'click_1')")),
-    "es_optional_field": (_events('view where ?missing == null and value < 3', options=ES), _where("event_type = 'view' AND value < 3")),
-    "endpoint_variables": (_events("any where arraySearch(tags, $t, $t == 'u1')", options=Options(endpoint=True)), _where("user_id % 3 = 1")),
+    "extended_string_predicates": (_events('any where name : ("view_*", "*_7") and name like "v*" and name regex "view_[0-4]"', options=ES), _where("regexp_matches(name, '(?i)^view_[0-4]')")),
+    "extended_in_tilde": (_events('any where name in~ ("VIEW_1", "click_1")', options=ES), _where("lower(name) IN ('view_1', 'click_1')")),
+    "extended_optional_field": (_events('view where ?missing == null and value < 3', options=ES), _where("event_type = 'view' AND value < 3")),
+    "scoped_variables": (_events("any where arraySearch(tags, $t, $t == 'u1')", options=Options(scoped=True)), _where("user_id % 3 = 1")),
     "definitions": (
         _events("any where BIG(value) and k == SEVEN", options=Options(definitions="const SEVEN = 7\nmacro BIG(x) x > 100")),
         _where("value > 100 AND k = 7"),

@@ -21,7 +21,7 @@ class Settings:
     binding: EventBinding = field(default_factory=EventBinding)
     fold: bool = True
     scoped_only: bool = False
-    endgame: bool = False  # lifecycle of processes by opcode
+    by_opcode: bool = False  # lifecycle of processes by opcode
 
 
 def event_scope(df: DataFrame, settings: Settings, relations: dict[Relation, Column] | None = None) -> Scope:

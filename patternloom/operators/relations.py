@@ -61,7 +61,7 @@ def _with(df: DataFrame, relation: Relation, name: str, settings: Settings, know
     field = scope.field
     process = F.col("type") == "process"
     opcode, subtype, title = field("opcode"), field("subtype"), field("process_name")
-    if settings.endgame:
+    if settings.by_opcode:
         code = opcode.col if opcode is not None and opcode.kind == "int" else F.lit(None).cast("long")
         create, ends = code.isin(1, 3, 9), code.isin(2, 4)
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from patternloom.api import EventBinding, Options, compile
 
 BINDING = EventBinding(type_col="type", time_col="ts", order_cols=("id",))
-ES = Options(elasticsearch=True, allow_sample=True, allow_negation=True, allow_runs=True)
+ES = Options(extended=True, allow_sample=True, allow_negation=True, allow_runs=True)
 SECOND = 10_000_000
 
 

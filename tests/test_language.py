@@ -61,14 +61,14 @@ def test_diagnostic_place():
 
 
 def test_dialects():
-    es = Options(elasticsearch=True, allow_runs=True, allow_negation=True, allow_sample=True)
+    es = Options(extended=True, allow_runs=True, allow_negation=True, allow_sample=True)
     compile('process where x : ("a*", "b") and ?y regex "c" and x in~ ("d")', es)
     compile('process where x == """raw "text" """', es)
     compile("sequence with maxspan=1s [a where true] ![b where true] [c where true] with runs=3", es)
     for text in ("process where x = 1", "process where x == 'a'", "sequence [a where true] ![b where true]"):
         with pytest.raises(QueryError):
             compile(text, es)
-    compile("sequence [a where true] as p [b where p.x == 1]", Options(endpoint=True))
+    compile("sequence [a where true] as p [b where p.x == 1]", Options(scoped=True))
     assert parse("x == 1", Dialect(implied_any=True)).stages[0].type == "any"
     assert parse("| head 1", Dialect(implied_base=True)).pipes[0].name == "head"
 

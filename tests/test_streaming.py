@@ -8,7 +8,7 @@ from patternloom.errors import QueryError
 from patternloom.streaming.forms import stream
 
 BINDING = EventBinding(type_col="type", time_col="ts", order_cols=("ts",))
-ES = Options(elasticsearch=True, allow_sample=True)
+ES = Options(extended=True, allow_sample=True)
 
 
 @pytest.fixture(scope="module")
