@@ -17,8 +17,9 @@ Other columns are left out.
 
 from __future__ import annotations
 
+import re
 import uuid
-import zlib
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -37,10 +38,15 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder(dict):
-    """piece -> its ids as bytes. Unknown pieces are encoded together, joined by spaces, and told apart by offsets."""
+class PieceEncoder:
+    """piece -> its ids as bytes, in two generations: when the young one is full it becomes the old one, and pieces that
+    are met again move on, so frequent pieces are never encoded twice. Only a cache; the ids don't depend on it.
 
-    LIMIT = 300_000
+    Unknown pieces are encoded together, joined by spaces, and told apart by offsets. A piece of ASCII letters and digits
+    with punctuation behind it is the ids of the one and then of the other, as the pre-tokenizer cuts there."""
+
+    LIMIT = 400_000
+    TAIL = re.compile(rb"([0-9a-z]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str, kind: str):
         import os
@@ -49,29 +55,47 @@ class PieceEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.folds = '"Lowercase"' in self.tokenizer.to_str()[:2000]
 
     def learn(self, pieces: set[bytes]) -> None:
-        if len(self) + len(pieces) > self.LIMIT:
-            self.clear()
-        pieces = [p.decode("utf-8", "replace") for p in pieces if p not in self]
+        young, new, tails = self.young, set(), []
+        for p in pieces:
+            if p in self.old:
+                young[p] = self.old[p]
+            elif m := self.TAIL.fullmatch(p):
+                tails.append((p, *m.groups()))
+                new.update(x for x in m.groups() if x not in young and x not in self.old)
+            elif p not in young:
+                new.add(p)
+        self.fresh(sorted(new))
+        for p, core, tail in tails:
+            young[p] = b"".join(young[x] if x in young else self.old[x] for x in (core, tail))
+
+    def fresh(self, pieces: list[bytes]) -> None:
         for at in range(0, len(pieces), 512):
-            part = pieces[at : at + 512]
+            part = [p.decode("utf-8", "replace") for p in pieces[at : at + 512]]
             starts = np.cumsum([0, *(len(p) + 1 for p in part)])
             code = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(code.ids, self.kind)
             owner = np.searchsorted(starts, np.array([a for a, _ in code.offsets], np.int64), side="right") - 1
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) if len(ids) else np.zeros(len(part) + 1, int)
-            for k, p in enumerate(part):
-                self[p.encode("utf-8")] = ids[cuts[k] : cuts[k + 1]].tobytes()
+            cuts = (np.searchsorted(owner, np.arange(len(part) + 1)) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            for k, p in enumerate(pieces[at : at + 512]):
+                self.young[p] = data[cuts[k] : cuts[k + 1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes."""
-        split = [t.split() for t in texts]
-        unknown = {w for ws in split for w in ws if w not in self}
-        if len(self) + len(unknown) > self.LIMIT:
-            unknown = {w for ws in split for w in ws}
+        """Ids of each text as bytes. Lower case first if the tokenizer folds it anyway, but not where an added token might stand."""
+        split = [(t.lower() if self.folds and b"<|" not in t else t).split() for t in texts]
+        pieces = set(chain.from_iterable(split))
+        unknown = pieces.difference(self.young)
+        if len(self.young) + len(unknown) > self.LIMIT:
+            self.old, self.young = self.young, {}
+            unknown = pieces
         self.learn(unknown)
-        return [b"".join(map(self.__getitem__, ws)) for ws in split]
+        get = self.young.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
 
 
 def _groups(texts: list[bytes], most: int = 1 << 20):
