@@ -7,11 +7,12 @@ A document's set is its distinct 5-word shingles (64-bit hashes); x and y link w
 2. Order. The shingles of what is left are counted exactly (in hash buckets, combined per batch first) and ordered by
    rarity. A set's prefix is its n - ceil(0.75 n) + 1 rarest shingles; linked sets share one of them.
 3. Groups. Sets with identical prefixes and size become one group.
-4. First links: each set is verified against its group's leader and against its neighbour in the lists of its
-   rarest shared shingles. Components of these links are found.
+4. First links: each set is verified against its group's leader, against a hub (the set with the fewest shingles of its
+   own in its lists) and against its neighbour in the lists of its rarest shared shingles. Components of these
+   links are found.
 5. All other candidates: only lists that still hold two components matter. Pairs of components in a list are expanded to
-   pairs of groups under the length bound and the positional bound, and those to members of different
-   components, which are verified. Pairs inside one component cannot change it, so a group of a million near copies
+   pairs of groups under the length bound, the positional bound and a bound by way of the hub (known intersections
+   with the hub limit that of the pair), and those to members of different components, which are verified. Pairs inside one component cannot change it, so a group of a million near copies
    costs a million rows, not their square. No candidate that could join two components is left out.
 Verification intersects whole sets.
 
@@ -214,55 +215,85 @@ def _lists(rows: DataFrame, wanted: DataFrame, k: int, percent: int, bits: int)
 
 
 def verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) with the size of their intersection, `both`, and whether they are similar enough, `ok`."""
     side = lambda c: lists.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
 
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b, na, nb, ta, tb = (c.to_pylist() for c in batch.columns)
-            ok = []
-            for x, y, u, v in zip(na, nb, ta, tb):
-                both = len(np.intersect1d(np.frombuffer(u, "<u8"), np.frombuffer(v, "<u8"), assume_unique=True))
-                ok.append(100 * both >= percent * (x + y - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            na, nb, ta, tb = (c.to_pylist() for c in batch.columns[2:])
+            both = [len(np.intersect1d(np.frombuffer(u, "<u8"), np.frombuffer(v, "<u8"), assume_unique=True)) for u, v in zip(ta, tb)]
+            ok = [100 * k >= percent * (x + y - k) for x, y, k in zip(na, nb, both)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(ok, pa.bool_())], ["a", "b", "both", "ok"])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb")
-    return joined.mapInArrow(check, "a binary, b binary")
+    return joined.mapInArrow(check, "a binary, b binary, both long, ok boolean")
 
 
-def _first_pairs(lists: DataFrame, look: int) -> DataFrame:
-    """A set with its group's leader, and with the best of its neighbours in the lists of its `look` rarest shared shingles."""
+def _hubs(lists: DataFrame, look: int) -> DataFrame:
+    """node, hub: of the sets that share one of a node's `look` prefix shingles of least hash, that with the fewest shingles
+    of its own, by most shingles; followed to the hub's hub, so that a group of near copies has few hubs. Saved."""
+    posts = lists.select("node", (F.col("first") / F.col("n")).alias("own"), F.explode(F.slice(F.array_sort("prefix"), 1, look)).alias("token"))
+    centres = posts.groupBy("token").agg(F.min(F.struct("own", "node")).alias("centre"))
+    counted = posts.join(centres, "token").groupBy("node", F.col("centre.node").alias("hub")).agg(F.count(F.lit(1)).alias("count"), F.min("centre.own").alias("own"))
+    hubs = saved(counted.groupBy("node").agg(F.max(F.struct("count", -F.col("own"), "hub")).alias("x")).select("node", "x.hub"), "hubs")
+    for _ in range(2):
+        after = hubs.select(F.col("node").alias("hub"), F.col("hub").alias("next"))
+        hubs = saved(hubs.join(after, "hub", "left").select("node", F.coalesce("next", "hub").alias("hub")), "hubs")
+    return hubs
+
+
+def _first_pairs(lists: DataFrame, hubs: DataFrame, look: int) -> DataFrame:
+    """A set with its group's leader, with its hub, and with the best of its neighbours in the lists of its `look` rarest
+    shared shingles."""
     leaders = lists.groupBy("group").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1")
     inner = lists.select("group", F.col("node").alias("b")).join(leaders, "group").where("a <> b").select("a", "b")
     posts = lists.select("node", "n", F.explode(F.slice("prefix", 1, look)).alias("token"))
     near = posts.withColumn("a", F.lag("node").over(Window.partitionBy("token").orderBy("n", "node"))).where("a is not null")
     counted = near.groupBy(F.col("node").alias("b"), "a").count()
     best = counted.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
-    return inner.unionByName(best).distinct()
+    central = hubs.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return inner.unionByName(best).unionByName(central).distinct()
+
 
+def _late_pairs(lists: DataFrame, roots: DataFrame, hubs: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets in different components that pass the prefix, length, positional and hub bounds.
 
-def _late_pairs(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets in different components that pass the prefix, length and positional bounds."""
-    members = lists.select("node", "group").join(roots, "node", "left").select("node", "group", F.coalesce("root", "node").alias("root"))
+    The hub bound: with the same hub h, |x & y| is at most min(|x & h|, |y & h|) + min(x's, y's shared shingles outside h)."""
+    with_hub = lists.select("node", "group", "n", "first").join(hubs, "node").join(tried.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both"), ["hub", "node"], "left")
+    inside = F.when(F.col("hub") == F.col("node"), F.col("n")).otherwise(F.col("both"))
+    members = with_hub.join(roots, "node", "left").select(
+        "node", "group", F.coalesce("root", "node").alias("root"), "hub", inside.alias("i"), F.greatest(F.lit(0), F.col("n") - F.col("first") - inside).alias("o"),
+    )
     members = saved(members, "members")
-    groups = members.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    groups = members.groupBy("group").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("hub").alias("hub"), F.max("hub").alias("hub2"), F.max("i").cast("int").alias("i"), F.max("o").cast("int").alias("o"),
+    )
     mixed = groups.where("low <> high").select("group")
-    groups = groups.select("group", F.when(F.expr("low = high"), F.col("low")).otherwise(F.col("group")).alias("c"))
-    posts = lists.select("group", "n", "first", F.posexplode("prefix").alias("at", "token"))
-    posts = posts.select("token", "group", "n", (F.col("first") + F.col("at")).cast("int").alias("rank"))
-    posts = posts.join(groups, "group").repartition("token").dropDuplicates(["token", "group", "n", "rank", "c"])
-    open_ = posts.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    posts = saved(posts.join(open_, "token", "left_semi"), "posts")
-    cells = posts.groupBy("token", "c").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one, two = (cells.select("token", F.col("c").alias(f"c{x}"), F.col("least").alias(f"l{x}"), F.col("most").alias(f"m{x}")) for x in "12")
-    apart = one.join(two, "token").where(f"c1 < c2 and 100 * m1 >= {percent} * l2 and 100 * m2 >= {percent} * l1").select("token", "c1", "c2")
-    side = lambda x: posts.select("token", F.col("c").alias(f"c{x}"), F.col("group").alias(f"g{x}"), F.col("n").alias(f"n{x}"), F.col("rank").alias(f"r{x}"))
-    pairs = apart.join(side(1), ["token", "c1"]).join(side(2), ["token", "c2"])
-    pairs = pairs.where(f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1")
-    bound = F.least("r1", "r2") + 1 + F.least(F.expr("n1 - 1 - r1"), F.expr("n2 - 1 - r2"))
-    pairs = pairs.where((100 + percent) * bound >= percent * (F.col("n1") + F.col("n2"))).select("g1", "g2").distinct()
+    # short keys: equal keys of different components would only hide a pair, so they are told apart by 64 bits of their digests
+    short = lambda c: F.xxhash64(c)
+    groups = saved(
+        groups.select(
+            "group", short(F.when(F.expr("low = high"), F.col("low")).otherwise(F.col("group"))).alias("c"),
+            F.when(F.expr("hub = hub2"), short(F.col("hub"))).otherwise(short(F.col("group"))).alias("hub"), "i", "o",
+        ), "groups",
+    )
+    posts = lists.select("group", F.col("n").cast("int").alias("n"), "first", F.posexplode("prefix").alias("at", "token"))
+    posts = posts.join(groups, "group").select("token", "group", "c", "hub", "n", "i", "o", (F.col("first") + F.col("at")).cast("int").alias("rank"))
+    cells = posts.groupBy("token", "c", "hub").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("i").alias("i"), F.max("o").alias("o"))
+    cells = saved(cells, "cells")
+    open_ = cells.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+    cells = cells.join(open_, "token", "left_semi")
+    one, two = (cells.select("token", *[F.col(k).alias(f"{k}{x}") for k in ("c", "hub", "least", "most", "i", "o")]) for x in "12")
+    hub_bound = lambda n1, n2: f"(hub1 <> hub2 or {100 + percent} * (least(i1, i2) + least(o1, o2)) >= {percent} * ({n1} + {n2}))"
+    apart = one.join(two, "token").where(f"c1 < c2 and 100 * most1 >= {percent} * least2 and 100 * most2 >= {percent} * least1 and {hub_bound('least1', 'least2')}")
+    apart = saved(apart.select("token", "c1", "hub1", "c2", "hub2"), "apart")
+    side = lambda x: posts.select("token", *[F.col(k).alias(f"{k}{x}") for k in ("c", "hub", "group", "n", "rank", "i", "o")]).join(apart.select("token", f"c{x}", f"hub{x}").distinct(), ["token", f"c{x}", f"hub{x}"], "left_semi")
+    pairs = apart.join(side(1), ["token", "c1", "hub1"]).join(side(2), ["token", "c2", "hub2"])
+    bound = F.least("rank1", "rank2") + 1 + F.least(F.expr("n1 - 1 - rank1"), F.expr("n2 - 1 - rank2"))
+    pairs = pairs.where(f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1 and {hub_bound('n1', 'n2')}").where((100 + percent) * bound >= percent * (F.col("n1") + F.col("n2")))
+    pairs = pairs.select(F.col("group1").alias("g1"), F.col("group2").alias("g2")).distinct()
     pairs = pairs.unionByName(mixed.select(F.col("group").alias("g1"), F.col("group").alias("g2")))
     own = lambda x, c: members.select(F.col("group").alias(f"g{x}"), F.col("node").alias(c), F.col("root").alias(f"root{x}"))
     expanded = pairs.join(own(1, "a"), "g1").join(own(2, "b"), "g2").where("root1 <> root2 and (g1 <> g2 or a < b)")
@@ -281,9 +312,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, look: int
     # the classes' rows are sent to all only if they are proven few; else texts are dealt by row
     wanted = F.broadcast(classes) if classes.count() <= small_rows else classes
     lists = _lists(rows.select("row", "text"), wanted, k, percent, bits)
-    first = saved(verified(saved(_first_pairs(lists, look), "pairs"), lists, percent), "links")
+    hubs = _hubs(lists, look)
+    tried = saved(verified(saved(_first_pairs(lists, hubs, look), "pairs"), lists, percent), "links")
+    first = tried.where("ok").select("a", "b")
     roots = saved(components(first), "roots")
-    late = saved(verified(saved(_late_pairs(lists, roots, percent), "pairs"), lists, percent), "links")
+    late = verified(saved(_late_pairs(lists, roots, hubs, tried, percent), "pairs"), lists, percent)
+    late = saved(late.where("ok").select("a", "b"), "links")
     if not late.isEmpty():
         roots = saved(components(first.unionByName(late)), "roots")
     release(docs.sparkSession)
@@ -312,3 +346,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     out = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(len(w), 5) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id
+FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-ORACLES = {"op4_substring_dedup": substring_dedup.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {
+    "op1_jaccard_join": jaccard_join.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op9_decontaminate": decontaminate.ORACLE,
+    "op10_exact_dedup": exact_dedup.ORACLE,
+}

@@ -212,3 +212,16 @@ def op7_warc(spark, sf_dir: str) -> DataFrame:
 
     size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
     return out.select("page_id", size.alias("payload_bytes"), digest("payload", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+ORACLE = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+g AS (SELECT h, max(page_id) AS m FROM p GROUP BY h),
+b AS (SELECT page_id, h, array_to_string(list_transform(range(1, 41), lambda i:
+  substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * (strpos('0123456789abcdef', substr(x, i, 1)) - 1) + 1 AS BIGINT), 4)), '') AS bits FROM p)
+SELECT page_id, CAST(octet_length(encode(b.h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * j + 1, 1) AS BIGINT)
+    + 8 * CAST(substr(bits, 5 * j + 2, 1) AS BIGINT) + 4 * CAST(substr(bits, 5 * j + 3, 1) AS BIGINT) + 2 * CAST(substr(bits, 5 * j + 4, 1) AS BIGINT) + CAST(substr(bits, 5 * j + 5, 1) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM b JOIN g ON b.h = g.h
+"""
