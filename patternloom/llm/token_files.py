@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -42,10 +43,12 @@ class PieceEncoder:
     """piece -> its ids as bytes, in two generations: when the young one is full it becomes the old one, and pieces that
     are met again move on, so frequent pieces are never encoded twice. Only a cache; the ids don't depend on it.
 
-    Unknown pieces are encoded together, joined by spaces, and told apart by offsets. A piece of ASCII letters and digits
+    Unknown pieces are encoded together, joined by spaces, and told apart by offsets; those of a-z alone go to the model
+    itself if probes show that the tokenizer does nothing else with such. A piece of ASCII letters and digits
     with punctuation behind it is the ids of the one and then of the other, as the pre-tokenizer cuts there."""
 
-    LIMIT = 400_000
+    LIMIT = 600_000
+    LETTERS = re.compile(rb"[a-z]+")
     TAIL = re.compile(rb"([0-9a-z]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, path: str, kind: str):
@@ -58,6 +61,9 @@ class PieceEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.folds = '"Lowercase"' in self.tokenizer.to_str()[:2000]
+        self.model = self.tokenizer.model
+        probes = ["a", "xyz", "the", "zqj", "internationalisation", "s", "ll", "don"]
+        self.direct = all(self.tokenizer.encode(p, add_special_tokens=False).ids == [t.id for t in self.model.tokenize(p)] for p in probes)
 
     def learn(self, pieces: set[bytes]) -> None:
         young, new, tails = self.young, set(), []
@@ -74,6 +80,14 @@ class PieceEncoder:
             young[p] = b"".join(young[x] if x in young else self.old[x] for x in (core, tail))
 
     def fresh(self, pieces: list[bytes]) -> None:
+        if self.direct:
+            tokenize, code, rest = self.model.tokenize, "H" if self.kind == "<u2" else "I", []
+            for p in pieces:
+                if self.LETTERS.fullmatch(p):
+                    self.young[p] = array(code, [t.id for t in tokenize(p.decode())]).tobytes()
+                else:
+                    rest.append(p)
+            pieces = rest
         for at in range(0, len(pieces), 512):
             part = [p.decode("utf-8", "replace") for p in pieces[at : at + 512]]
             starts = np.cumsum([0, *(len(p) + 1 for p in part)])
