@@ -232,13 +232,15 @@ def verified(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _hubs(lists: DataFrame, look: int) -> DataFrame:
-    """node, hub: of the sets that share one of a node's `look` prefix shingles of least hash, that with the fewest shingles
-    of its own, by most shingles; followed to the hub's hub, so that a group of near copies has few hubs. Saved."""
+    """node, hub: of the sets that lead the lists of a node's `look` prefix shingles of least hash (of two of them, if one does),
+    that with the smallest share of shingles of its own; followed to the hub's hub, so that a group of near copies has
+    few hubs. Saved."""
     posts = lists.select("node", (F.col("first") / F.col("n")).alias("own"), F.explode(F.slice(F.array_sort("prefix"), 1, look)).alias("token"))
     centres = posts.groupBy("token").agg(F.min(F.struct("own", "node")).alias("centre"))
     counted = posts.join(centres, "token").groupBy("node", F.col("centre.node").alias("hub")).agg(F.count(F.lit(1)).alias("count"), F.min("centre.own").alias("own"))
-    hubs = saved(counted.groupBy("node").agg(F.max(F.struct("count", -F.col("own"), "hub")).alias("x")).select("node", "x.hub"), "hubs")
-    for _ in range(2):
+    best = F.min(F.struct((F.col("count") < 2).alias("once"), "own", "hub")).alias("x")
+    hubs = saved(counted.groupBy("node").agg(best).select("node", "x.hub"), "hubs")
+    for _ in range(3):
         after = hubs.select(F.col("node").alias("hub"), F.col("hub").alias("next"))
         hubs = saved(hubs.join(after, "hub", "left").select("node", F.coalesce("next", "hub").alias("hub")), "hubs")
     return hubs
@@ -281,18 +283,20 @@ def _late_pairs(lists: DataFrame, roots: DataFrame, hubs: DataFrame, tried: Data
     )
     posts = lists.select("group", F.col("n").cast("int").alias("n"), "first", F.posexplode("prefix").alias("at", "token"))
     posts = posts.join(groups, "group").select("token", "group", "c", "hub", "n", "i", "o", (F.col("first") + F.col("at")).cast("int").alias("rank"))
-    cells = posts.groupBy("token", "c", "hub").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("i").alias("i"), F.max("o").alias("o"))
+    # a cell: sets of one component, hub and size that share a shingle
+    cells = posts.groupBy("token", "c", "hub", "n").agg(F.max("i").alias("i"), F.max("o").alias("o"))
     cells = saved(cells, "cells")
     open_ = cells.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
     cells = cells.join(open_, "token", "left_semi")
-    one, two = (cells.select("token", *[F.col(k).alias(f"{k}{x}") for k in ("c", "hub", "least", "most", "i", "o")]) for x in "12")
-    hub_bound = lambda n1, n2: f"(hub1 <> hub2 or {100 + percent} * (least(i1, i2) + least(o1, o2)) >= {percent} * ({n1} + {n2}))"
-    apart = one.join(two, "token").where(f"c1 < c2 and 100 * most1 >= {percent} * least2 and 100 * most2 >= {percent} * least1 and {hub_bound('least1', 'least2')}")
-    apart = saved(apart.select("token", "c1", "hub1", "c2", "hub2"), "apart")
-    side = lambda x: posts.select("token", *[F.col(k).alias(f"{k}{x}") for k in ("c", "hub", "group", "n", "rank", "i", "o")]).join(apart.select("token", f"c{x}", f"hub{x}").distinct(), ["token", f"c{x}", f"hub{x}"], "left_semi")
-    pairs = apart.join(side(1), ["token", "c1", "hub1"]).join(side(2), ["token", "c2", "hub2"])
+    one, two = (cells.select("token", *[F.col(k).alias(f"{k}{x}") for k in ("c", "hub", "n", "i", "o")]) for x in "12")
+    possible = f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1 and (hub1 <> hub2 or {100 + percent} * (least(i1, i2) + least(o1, o2)) >= {percent} * (n1 + n2))"
+    apart = one.join(two, "token").where(f"c1 < c2 and {possible}")
+    apart = saved(apart.select("token", "c1", "hub1", "n1", "c2", "hub2", "n2", F.col("i2").alias("most_i"), F.col("o2").alias("most_o")), "apart")
+    with_cell = possible.replace("i2", "most_i").replace("o2", "most_o")  # a group against the other cell, before its groups
+    side = lambda x: posts.select("token", *[F.col(k).alias(f"{k}{x}") for k in ("c", "hub", "group", "n", "rank", "i", "o")]).join(apart.select("token", f"c{x}", f"hub{x}", f"n{x}").distinct(), ["token", f"c{x}", f"hub{x}", f"n{x}"], "left_semi")
+    pairs = apart.join(side(1), ["token", "c1", "hub1", "n1"]).where(with_cell).join(side(2), ["token", "c2", "hub2", "n2"])
     bound = F.least("rank1", "rank2") + 1 + F.least(F.expr("n1 - 1 - rank1"), F.expr("n2 - 1 - rank2"))
-    pairs = pairs.where(f"100 * n1 >= {percent} * n2 and 100 * n2 >= {percent} * n1 and {hub_bound('n1', 'n2')}").where((100 + percent) * bound >= percent * (F.col("n1") + F.col("n2")))
+    pairs = pairs.where(possible).where((100 + percent) * bound >= percent * (F.col("n1") + F.col("n2")))
     pairs = pairs.select(F.col("group1").alias("g1"), F.col("group2").alias("g2")).distinct()
     pairs = pairs.unionByName(mixed.select(F.col("group").alias("g1"), F.col("group").alias("g2")))
     own = lambda x, c: members.select(F.col("group").alias(f"g{x}"), F.col("node").alias(c), F.col("root").alias(f"root{x}"))
