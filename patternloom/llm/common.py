@@ -42,15 +42,33 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Write df as a table in the shared folder and read it back: later jobs start from the files,
-    so a lost executor costs no earlier stage, and shuffle files behind it can go."""
+    so a lost executor costs no earlier stage, and shuffle files behind it can go. The tables in drop, made by
+    saved() and needed no longer, are deleted then."""
     spark = df.sparkSession
     path = workspace(spark, name)
     df.write.parquet(path)
     schema = df.schema
+    discard(*drop)
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by saved(); nothing may read them from then on."""
+    for table in tables:
+        remove(table.sparkSession, table.saved_path)
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A name for a helper column that no column of the caller has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -94,10 +112,20 @@ def write_whole(uri: str, pieces) -> int:
     return n
 
 
-def input_mb(df: DataFrame) -> float:
-    """Size of the files behind df's scan as the optimizer knows it, in MB; used only to set numbers of partitions."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(float(str(stats)) / 1e6, 1e12)
+def input_mb(df: DataFrame, text_col: str = "text") -> float:
+    """Size of df in MB, used only to set numbers of partitions and buckets: that of the files behind a plain scan as the
+    optimizer knows it; for any other plan, whose estimate may be far off, the bytes of its texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    kinds, todo = set(), [plan]
+    while todo:
+        node = todo.pop()
+        kinds.add(node.getClass().getSimpleName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    if kinds <= {"Project", "Filter", "LogicalRelation"}:
+        return float(str(plan.stats().sizeInBytes())) / 1e6
+    found = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("double")), F.count(F.lit(1))).first()
+    return ((found[0] or 0) + 32 * found[1]) / 1e6
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -115,7 +143,7 @@ def byte_column(batch, name: str) -> list:
 class WordHashes(dict):
     """word -> 64-bit hash. Only a cache: emptied when large, with the same values before and after."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

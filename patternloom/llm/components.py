@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star rounds over an edge table.
 
-Every round is two aggregations and two joins on the edges, written to the shared folder; nothing is gathered.
+Every round is two aggregations and two joins on the edges, written to the shared folder; nothing is gathered. Rounds grow with the
+square of the logarithm of the nodes at most, so no limit is set.
 Each round hangs nodes on smaller neighbours, so the table ends as stars around each component's least node."""
 
 from __future__ import annotations
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-MOST_ROUNDS = 100
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Large: all greater neighbours of a node move to the least of its neighbours and itself. Small: so do the node and its
@@ -27,15 +26,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node of its component, for every node that an edge (a, b) names."""
+    """(node, root): the least node of its component, for every node that an edge (a, b) names. Saved."""
     state = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # ends: every round that changes the table hangs some node on a smaller one
         new = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
         mark = new
-        state = saved(_star(_star(state, True), False), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        state = saved(_star(_star(state, True), False), "edges", drop=(state,))
+    roots = state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return saved(roots, "roots", drop=(state,))

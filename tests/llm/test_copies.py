@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import pytest
@@ -78,6 +79,40 @@ def test_jaccard_large_group_and_edges(spark, nothing):
     assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
+def test_jaccard_repeated_rows(spark):
+    """Rows that repeat id and text are one set; the work doesn't grow with the square of their number."""
+    words = [f"w{k}" for k in range(40)]
+    other = " ".join([*words[:39], "x"])
+    df = spark.createDataFrame([r for k in range(300) for r in [(1, " ".join(words)), (2, other)]] + [(3, "a b c d e f g")], "doc_id long, text string").repartition(5)
+    got = jaccard_join.jaccard_components(df).collect()
+    assert len(got) == 601 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(df).collect()) == [1, 3]
+
+
+def test_jaccard_random_families(spark):
+    """Trees of mutated copies, where many pairs are just below the threshold."""
+    rng = random.Random(5)
+    out = []
+    for _ in range(4):
+        family = [[rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4) + str(rng.randrange(30)) for _ in range(rng.randrange(30, 150))]]
+        while len(family) < 45:
+            w = list(rng.choice(family))
+            for _ in range(rng.randrange(1, 6)):
+                w[rng.randrange(len(w))] = f"m{rng.randrange(200)}"
+            family.append(w)
+        out += [" ".join(w) for w in family]
+    rng.shuffle(out)
+    df = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(3)
+    got = rows(jaccard_join.jaccard_components(df))
+    assert [got[i].component_id for i in range(len(out))] == component_of(out)[1]
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "r"), (2, "a b c", 6, "s")], "doc_id long, text string, number long, row string")
+    got = jaccard_join.one_of_each(df).collect()
+    assert [tuple(r) for r in got] == [(1, "a b c", 5, "r")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 105), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
