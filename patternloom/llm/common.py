@@ -112,6 +112,13 @@ def write_whole(uri: str, pieces) -> int:
     return n
 
 
+def read_whole(uri: str) -> bytes:
+    """The bytes of a file that write_whole() made."""
+    store, path = open_fs(uri)
+    with store.open_input_stream(path) as file:
+        return file.read()
+
+
 def input_mb(df: DataFrame, text_col: str = "text") -> float:
     """Size of df in MB, used only to set numbers of partitions and buckets: that of the files behind a plain scan as the
     optimizer knows it; for any other plan, whose estimate may be far off, the bytes of its texts."""
@@ -143,7 +150,7 @@ def byte_column(batch, name: str) -> list:
 class WordHashes(dict):
     """word -> 64-bit hash. Only a cache: emptied when large, with the same values before and after."""
 
-    LIMIT = 100_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -168,12 +175,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def rolling(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive word hashes: a polynomial by doubling of run lengths, then mix()."""
+def rolling(words: np.ndarray, k: int, base: np.uint64 = np.uint64(0x9E3779B97F4A7C15)) -> np.ndarray:
+    """Hashes of all runs of k consecutive word hashes: a polynomial in base by doubling of run lengths, then mix()."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64(0x9E3779B97F4A7C15)
     total, have, power, run, length = None, 0, None, words, 1
     step = base  # base ** length
     rest = k

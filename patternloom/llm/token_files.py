@@ -6,17 +6,18 @@ Documents are range-sorted by id; each task encodes its range and writes three f
 a document's global start is base + local offset. A part counts only if the manifest names it, so files of
 lost or repeated tasks do no harm.
 
-Encoding: pieces between ASCII white space are encoded apart, each distinct piece once per worker (the tokenizer's
-normaliser, pre-tokenizer and BPE never reach across white space, and added tokens hold none). A test compares
-with encoding whole texts.
+Encoding: if the vocabulary file has the normaliser and pre-tokenizer SETTINGS, which never reach across white space, and
+added tokens without any, pieces between ASCII white space are encoded apart, each distinct piece once per task. With any
+other file whole texts are encoded. A test compares both.
 
 Defined cases: a null text is empty and gets the end id only. A null id is written as the smallest int64, sorts
-first and is read back as null. Rows that repeat an id are neighbours, by text. An empty table has no parts.
+first and is read back as null, as an id of that value is. Rows that repeat an id are neighbours, by text. An empty table has no parts.
 Other columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from array import array
@@ -33,6 +34,19 @@ NO_ID = -(2**63)
 MANIFEST = "part int, path string, docs long, ids long, width int"
 
 
+#: The settings of a vocabulary file whose tokens never reach across white space.
+SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -47,7 +61,7 @@ class PieceEncoder:
     itself if probes show that the tokenizer does nothing else with such. A piece of ASCII letters and digits
     with punctuation behind it is the ids of the one and then of the other, as the pre-tokenizer cuts there."""
 
-    LIMIT = 600_000
+    LIMIT = 200_000
     LETTERS = re.compile(rb"[a-z]+")
     TAIL = re.compile(rb"([0-9a-z]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -60,7 +74,9 @@ class PieceEncoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.folds = '"Lowercase"' in self.tokenizer.to_str()[:2000]
+        found = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in found["added_tokens"]]
+        self.by_piece = all(found[k] == v for k, v in SETTINGS.items()) and found["post_processor"] is None and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
         self.model = self.tokenizer.model
         probes = ["a", "xyz", "the", "zqj", "internationalisation", "s", "ll", "don"]
         self.direct = all(self.tokenizer.encode(p, add_special_tokens=False).ids == [t.id for t in self.model.tokenize(p)] for p in probes)
@@ -100,8 +116,10 @@ class PieceEncoder:
                 self.young[p] = data[cuts[k] : cuts[k + 1]]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as bytes. Lower case first if the tokenizer folds it anyway, but not where an added token might stand."""
-        split = [(t.lower() if self.folds and b"<|" not in t else t).split() for t in texts]
+        """Ids of each text as bytes. Lower case first, as the tokenizer folds it anyway, but not where an added token might stand."""
+        if not self.by_piece:
+            return [np.array(c.ids, self.kind).tobytes() for c in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+        split = [(t.lower() if b"<|" not in t else t).split() for t in texts]
         pieces = set(chain.from_iterable(split))
         unknown = pieces.difference(self.young)
         if len(self.young) + len(unknown) > self.LIMIT:
