@@ -10,13 +10,14 @@ of it fits `budget`; a turn that is too long alone gets a window of its own and
 ranges under the loss mask: the texts of new assistant turns. Repeated turns are outside of it, so each
 assistant text is under it once.
 
-Work is dealt by conversation and run of `chunk` turn numbers; runs are packed apart, with the system turn and the last
-`carry` turn numbers of the run before as possible history, so a conversation with any number of turns is many
-tasks' work. A task streams its rows and holds one window.
+Work is dealt by conversation and stretch of `stretch` tokens, by prefix sums over the whole conversation (in two levels, so
+that a conversation with any number of turns is many tasks' work). A turn belongs to the stretch in which it begins, and a
+stretch begins a window; its history are the turns before it that fit `history`, and the system turn goes with each. So windows
+depend on the turns' order and tokens alone, not on their numbers. A task streams its rows and holds one window.
 
 Defined cases: null and empty texts are empty turns; a null role is empty. Null conv_ids are one conversation, null turns come
 first. Rows that repeat a turn number are turns of their own, by role and text. An empty table gives an
-empty result. Other columns are left out.
+empty result. Other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 OWN, CARRIED, SYSTEM = 2, 1, 0
-WINDOW = "conv_id long, chunk long, window long, repeated int, turns int, tokens long, text string, spans array<struct<start:long,end:long>>"
+WINDOW = "conv_id long, stretch long, window long, repeated int, turns int, tokens long, text string, spans array<struct<start:long,end:long>>"
 
 
 def escape(text: str) -> str:
@@ -56,8 +59,13 @@ def parse_turns(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def cost_of(role: str, text: str, count: Callable[[str], int]) -> int:
+    """Tokens of a turn with its marks."""
+    return count(text) + count(role) + 4
+
+
 class Packer:
-    """Turns of one run in, windows out."""
+    """Turns of one stretch in, windows out."""
 
     def __init__(self, budget: int, history: int, count: Callable[[str], int]):
         self.budget, self.history, self.count = budget, history, count
@@ -69,7 +77,7 @@ class Packer:
         self.made = 0
 
     def cost(self, role: str, text: str) -> int:
-        return self.count(text) + self.count(role) + 4
+        return cost_of(role, text, self.count)
 
     def add(self, role: str, text: str, kind: int, first: bool):
         """Windows that are full before this turn."""
@@ -122,43 +130,69 @@ class Packer:
             yield self._window()
 
 
-def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 256, chunk: int = 1024, carry: int = 16, count: Callable[[str], int] = count_tokens) -> DataFrame:
-    """Windows: conv_id, chunk, window, repeated (turns shown again), turns, tokens, text, spans. Needs conv_id, turn, role, text."""
+def _placed(turns: DataFrame, count: Callable[[str], int]) -> DataFrame:
+    """conv_id, role, text, cost (tokens), start (tokens of the conversation before the turn)."""
     rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv_id"), F.col("conv_id").isNull().alias("none"), F.col("turn").cast("long").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    number = F.coalesce(F.floor(F.col("turn") / chunk), F.floor(F.lit(-(2**63) / chunk))).cast("long")
-    rows = rows.withColumn("chunk", number).withColumn("kind", F.lit(OWN))
-    carried = rows.where(F.pmod("turn", F.lit(chunk)) >= chunk - carry).withColumn("chunk", F.col("chunk") + 1).withColumn("kind", F.lit(CARRIED))
-    runs = rows.groupBy("conv_id").agg(F.min("chunk").alias("first"), F.max("chunk").alias("last"), F.min(F.struct("turn", "role", "text")).alias("lead"))
-    runs = runs.where("last > first and lead.role = 'system'")
-    later = rows.select("conv_id", "chunk").distinct().withColumnRenamed("conv_id", "c").join(runs, F.col("c").eqNullSafe(F.col("conv_id"))).where("chunk > first")
-    systems = later.select("conv_id", "lead.turn", "lead.role", "lead.text", "chunk", F.lit(SYSTEM).alias("kind"))
-    dealt = rows.unionByName(carried).unionByName(systems).repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "kind", "turn", "role", "text")
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cost = [cost_of(r, t, count) for r, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cost, pa.int64())], [*batch.schema.names, "cost"])
+
+    rows = rows.mapInArrow(measure, "conv_id long, none boolean, turn long, role string, text string, cost long")
+    # a number of turns at a time: the size of the parts changes no sum
+    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / 1024), F.lit(-(2**53))).cast("long"))
+    keys = ["conv_id", "none", "part"]
+    before = Window.partitionBy("conv_id", "none").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*keys).agg(F.sum("cost").alias("cost")).select(*keys, F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*keys).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.join(bases, keys).withColumn("start", F.col("base") + F.coalesce(F.sum("cost").over(inside), F.lit(0)))
+    return placed.select(F.when(~F.col("none"), F.col("conv_id")).alias("conv_id"), "role", "text", "cost", "start")
+
+
+def format_conversations(turns: DataFrame, budget: int = 1024, history: int = 256, stretch: int = 1 << 16, count: Callable[[str], int] = count_tokens) -> DataFrame:
+    """Windows: conv_id, stretch, window, repeated (turns shown again), turns, tokens, text, spans. Needs conv_id, turn, role, text.
+
+    A stretch has three times the tokens of a history at least, so that a history never spans more than one."""
+    stretch = max(stretch, 3 * history, 1)
+    rows = saved(_placed(turns, count).withColumn("stretch", F.expr(f"start div {stretch}")), "turns")
+    runs = rows.groupBy("conv_id", "stretch").agg(F.max(F.col("start") + F.col("cost")).alias("end"))
+    runs = runs.withColumn("next", F.lead("stretch").over(Window.partitionBy("conv_id").orderBy("stretch")))
+    leads = rows.where("start = 0 and role = 'system'").select("conv_id", "role", "text")
+    late = runs.where("next is not null").alias("r")
+    same = F.expr("r.conv_id <=> t.conv_id")
+    carried = late.join(rows.alias("t"), same & F.expr(f"r.stretch = t.stretch and r.end - t.start <= {history} and not (t.start = 0 and t.role = 'system')"))
+    carried = carried.select("t.conv_id", "t.role", "t.text", "t.start", F.col("r.next").alias("stretch"), F.lit(CARRIED).alias("kind"))
+    systems = late.join(leads.alias("t"), same).select("t.conv_id", "t.role", "t.text", F.lit(0).cast("long").alias("start"), F.col("r.next").alias("stretch"), F.lit(SYSTEM).alias("kind"))
+    own = rows.select("conv_id", "role", "text", "start", "stretch", F.lit(OWN).alias("kind"))
+    dealt = own.unionByName(carried).unionByName(systems).repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "kind", "start")
 
     def pack(batches):
         import pyarrow as pa
 
-        kinds = pa.schema([("conv_id", pa.int64()), ("chunk", pa.int64()), ("window", pa.int64()), ("repeated", pa.int32()), ("turns", pa.int32()), ("tokens", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+        kinds = pa.schema([("conv_id", pa.int64()), ("stretch", pa.int64()), ("window", pa.int64()), ("repeated", pa.int32()), ("turns", pa.int32()), ("tokens", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
         key, packer, out = None, None, []
         for batch in batches:
-            for conv, _, role, text, run, kind in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, role, text, run, kind, start in zip(*(c.to_pylist() for c in batch.columns)):
                 if packer is None or key != (conv, run):
                     if packer is not None:
-                        out += [w | {"conv_id": key[0], "chunk": key[1]} for w in packer.finish()]
-                    key, packer, fresh = (conv, run), Packer(budget, history, count), True
-                out += [w | {"conv_id": conv, "chunk": run} for w in packer.add(role, text, kind, fresh)]
-                fresh = False
+                        out += [w | {"conv_id": key[0], "stretch": key[1]} for w in packer.finish()]
+                    key, packer = (conv, run), Packer(budget, history, count)
+                out += [w | {"conv_id": conv, "stretch": run} for w in packer.add(role, text, kind, start == 0)]
                 if len(out) >= 500:
                     yield pa.RecordBatch.from_pylist(out, kinds)
                     out = []
         if packer is not None:
-            out += [w | {"conv_id": key[0], "chunk": key[1]} for w in packer.finish()]
+            out += [w | {"conv_id": key[0], "stretch": key[1]} for w in packer.finish()]
         if out:
             yield pa.RecordBatch.from_pylist(out, kinds)
 
-    return dealt.select("conv_id", "turn", "role", "text", "chunk", "kind").mapInArrow(pack, WINDOW)
+    return dealt.select("conv_id", "role", "text", "stretch", "kind", "start").mapInArrow(pack, WINDOW)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -198,7 +232,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, kinds)
 
-    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "window")
+    ordered = windows.repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "window")
     return ordered.select("conv_id", "repeated", "text", "spans").mapInArrow(read, DIGEST)
 
 
@@ -207,3 +241,32 @@ def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     trap = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     return read_back(format_conversations(turns.unionByName(own)))
+
+
+#: Turns in order with their costs and lengths; for each the history that a window beginning there has; then the greedy cut, turn by
+#: turn. h, hs, hc: the first turn that the window shows, with tokens and characters before it; w: its first new turn.
+ORACLE = r"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+o AS (SELECT coalesce(conv_id, 0) AS conv, conv_id IS NULL AS none, role, text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS idx,
+  len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]')) + len(regexp_extract_all(role, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b\x1c-\x1f\x85\p{Z}]')) + 4 AS cost,
+  24 + length(regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS chars FROM raw),
+t AS (SELECT *, coalesce(sum(cost) OVER p, 0) AS s, coalesce(sum(chars) OVER p, 0) AS c, max(CASE WHEN idx = 0 AND role = 'system' THEN 1 ELSE 0 END) OVER q AS lead,
+  max(CASE WHEN idx = 0 AND role = 'system' THEN cost ELSE 0 END) OVER q AS fixed, max(CASE WHEN idx = 0 AND role = 'system' THEN chars ELSE 0 END) OVER q AS head, max(idx) OVER q AS last
+  FROM o WINDOW p AS (PARTITION BY conv, none ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), q AS (PARTITION BY conv, none)),
+x AS (SELECT a.*, h.idx AS h2, h.s AS hs2, h.c AS hc2 FROM t a LEFT JOIN (SELECT a.conv, a.none, a.idx AS i, min(b.idx) AS idx FROM t a JOIN t b ON a.conv = b.conv AND a.none = b.none
+  AND b.idx BETWEEN a.lead AND a.idx AND a.s - b.s <= 256 GROUP BY ALL) g ON g.conv = a.conv AND g.none = a.none AND g.i = a.idx
+  LEFT JOIN t h ON h.conv = a.conv AND h.none = a.none AND h.idx = g.idx),
+r AS (SELECT conv, none, idx, CAST(0 AS HUGEINT) AS hs, CAST(0 AS HUGEINT) AS hc, idx AS w, false AS later, CAST(0 AS HUGEINT) AS total, s FROM x WHERE idx = 0
+  UNION ALL SELECT conv, none, idx, CASE WHEN cut THEN hs2 ELSE hs END, CASE WHEN cut THEN hc2 ELSE hc END, CASE WHEN cut THEN idx ELSE w END, later OR cut,
+    total + CASE WHEN cut THEN CASE WHEN later THEN head ELSE 0 END + c - hc ELSE 0 END, s
+  FROM (SELECT x.conv, x.none, x.idx, r.hs, r.hc, r.w, r.later, r.total, x.hs2, x.hc2, x.head, x.c, x.s,
+    CASE WHEN r.later THEN x.fixed ELSE 0 END + x.s - r.hs + x.cost > 1024 OR x.s // 65536 <> r.s // 65536 AS cut FROM r JOIN x ON x.conv = r.conv AND x.none = r.none AND x.idx = r.idx + 1))
+SELECT CASE WHEN NOT t.none THEN t.conv END AS conv_id, count(*) AS n_turns, sha256(string_agg(t.role || chr(10) || t.text || chr(10), '' ORDER BY t.idx)) AS turns_sha256,
+  CAST(coalesce(sum(length(t.text)) FILTER (t.role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(t.text, '' ORDER BY t.idx) FILTER (t.role = 'assistant'), '')) AS loss_sha256,
+  CAST(any_value(f.formatted) AS BIGINT) AS formatted_chars
+FROM t JOIN (SELECT r.conv, r.none, r.total + CASE WHEN r.later THEN x.head ELSE 0 END + x.c + x.chars - r.hc AS formatted
+  FROM r JOIN x ON x.conv = r.conv AND x.none = r.none AND x.idx = r.idx AND x.idx = x.last) f ON f.conv = t.conv AND f.none = t.none
+GROUP BY t.conv, t.none
+"""
