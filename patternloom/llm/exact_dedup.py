@@ -10,8 +10,8 @@ Rows then look their class up by digest; digests under which step 3 found severa
 but a caller may pass a weaker digest) are looked up by digest and text.
 
 Defined cases: a null text counts as empty. A null id takes part; it stays only in a class without any id.
-Rows that repeat an id with the same text are all kept or all dropped. Other columns are left out, so their
-names cannot clash. An empty table gives an empty result.
+Of rows that repeat an id with the same text one is kept at most; they are counted with the first combining and
+dealt out again at the end. Other columns are left out, so their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     by_digest = merged.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.min("keep_id").alias("keep_id"))
     repeated = saved(by_digest.where("n > 1"), "dedup")
-    members = rows.select("id", "digest")
+    members = rows.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     classes = repeated.where("texts = 1").select("digest", "n", "keep_id")
     clashing = repeated.where("texts > 1").select("digest")
     if clashing.isEmpty():
@@ -53,12 +53,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         apart = rows.join(clashing, "digest", "left_semi")
         texts = merged.join(clashing, "digest", "left_semi")
-        found = members.join(clashing, "digest", "left_anti").join(classes, "digest", "left").select("digest", "id", "n", "keep_id")
-        found = found.unionByName(apart.join(texts, ["digest", "text"]).select("digest", "id", "n", "keep_id"))
+        found = members.join(clashing, "digest", "left_anti").join(classes, "digest", "left").select("digest", "id", "copies", "n", "keep_id")
+        apart = apart.groupBy("id", "digest", "text").agg(F.count(F.lit(1)).alias("copies"))
+        found = found.unionByName(apart.join(texts, ["digest", "text"]).select("digest", "id", "copies", "n", "keep_id"))
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return found.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("id")).alias("kept"), F.col("digest"),
+        (keep.eqNullSafe(F.col("id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest"),
     )
 
 
