@@ -9,8 +9,9 @@ is how well it parts the languages. The smallest loss wins; score is its softmax
 the two best shares differ by less than `gap`.
 
 Defined cases: null texts and texts without letters are `und` with score 0, as is everything if nothing was learned.
-Null labels train nothing. Ties go to the first language by code point. Rows are judged one by one, so null and
-repeated ids need no care. Empty tables give an empty result. Very long texts are read whole, in slices.
+Null labels train nothing, nor do labels beyond the `most_languages` most frequent, so a dirty column of labels can't fill a
+task's memory. Ties go to the first language by code point. Rows are judged one by one, so null and
+repeated ids need no care. Other columns pass through unchanged. Empty tables give an empty result. Very long texts are read whole, in slices.
 """
 
 from __future__ import annotations
@@ -102,8 +103,9 @@ class Model:
         return self.languages[order[0]], float(share[order[0]]), float(share[order[0]] - (share[order[1]] if len(order) > 1 else 0))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on every row with a label and a text. What reaches the driver is one count per language and feature."""
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", most_languages: int = 256) -> Model:
+    """Fit on every row with a text and one of the `most_languages` labels that most rows have (ties: the first by code
+    point). What reaches the driver, and what a task holds, is one count per such language and feature."""
 
     def count(batches):
         import pyarrow as pa
@@ -126,6 +128,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
 
     schema = "lang string, part long, counts binary"
     rows = labelled.select(text_col, lang_col).dropna()
+    common = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages).collect()
+    rows = rows.where(F.col(lang_col).isin([r[0] for r in common]))
     found = rows.mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(add, schema).collect()
     languages = sorted({r["lang"] for r in found})
     counts = [np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted((r for r in found if r["lang"] == x), key=lambda r: r["part"])]) for x in languages]
@@ -136,8 +140,11 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc_of_id(F.col(id_col)) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, gap: float = 0.1, text_col: str = "text") -> DataFrame:
-    """docs with `judged`, a struct of lang_pred, score and ambiguous. The model is broadcast: languages * 2^15 features, whatever the input."""
+def identify(docs: DataFrame, model: Model, gap: float = 0.1, text_col: str = "text", out_col: str = "judged") -> DataFrame:
+    """docs with `out_col`, a struct of lang_pred, score and ambiguous. The model is broadcast: a row of 2^15 features for each bit,
+    whatever the input. A column of docs by the name of out_col is an error, not overwritten."""
+    if out_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column {out_col}; choose another out_col")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -147,7 +154,7 @@ def identify(docs: DataFrame, model: Model, gap: float = 0.1, text_col: str = "t
         rows = [shared.value.judge(t) for t in text]
         return pd.DataFrame({"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows], "ambiguous": [r[0] != "und" and r[2] < gap for r in rows]})
 
-    return docs.withColumn("judged", judged(text_col))
+    return docs.withColumn(out_col, judged(text_col))
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
