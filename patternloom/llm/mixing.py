@@ -14,7 +14,8 @@
 
 Defined cases: null text has no words; a document without words is in no block and gives 0. A null source is a
 source. Rows with null or repeated ids are documents of their own, told apart by size and text, else
-interchangeable. An empty table gives an empty result. Other columns are left out.
+interchangeable. An empty table gives an empty result. Other columns are left out (`mixed`: kept unchanged).
+The list of sources, one row each, goes through the driver, which needs some 300 bytes a source; nothing is cut off.
 """
 
 from __future__ import annotations
@@ -22,16 +23,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, saved
+from .common import NOT_SPACE, fresh, saved
 
 WEIGHTS = (5, 2, 1)
 PHI = (math.sqrt(5) - 1) / 2
-#: Sources are a short list by nature; more than this is refused rather than gathered on the driver.
-MOST_SOURCES = 1_000_000
-
 
 def fill_targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of total by weight, none above most * size; the excess goes to the others by weight, until none is above."""
@@ -57,12 +55,19 @@ def golden(start: int, stop: int) -> np.ndarray:
         return (np.arange(start + 1, stop + 1, dtype=np.uint64) * step).astype(np.float64) / 2.0**64
 
 
+def hashes(id_col: str, text_col: str, seed: int) -> tuple[Column, Column]:
+    """The seeded order of a row, and 64 bits more that tell rows apart."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(F.lit(seed), F.col(id_col), text), F.xxhash64(text, F.col(id_col), F.lit(~seed))
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """id, source, size and the seeded order of every document: small columns only."""
+    """id, source, size and the hashes of every document: small columns only."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    h, g = hashes(id_col, text_col, seed)
     return docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(NOT_SPACE)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), text).alias("h"),
+        h.alias("h"), g.alias("g"),
     )
 
 
@@ -71,9 +76,7 @@ def low_discrepancy_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
     schedule: slot, source, pass, block, words)."""
     spark = docs.sparkSession
     rows = saved(measured(docs, id_col, text_col, source_col, seed), "mix")
-    per_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).limit(MOST_SOURCES + 1).collect()
-    if len(per_source) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
     per_source.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in per_source]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
@@ -92,7 +95,7 @@ def low_discrepancy_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
     bases = rows.groupBy("source_id", "bucket").agg(F.sum("size").alias("words"))
     up_to = Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = bases.select("source_id", "bucket", F.coalesce(F.sum("words").over(up_to), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_id", "bucket").orderBy(F.shiftrightunsigned("h", 33), "h", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_id", "bucket").orderBy(F.shiftrightunsigned("h", 33), "h", "g", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(bases, ["source_id", "bucket"]).withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
     # slots of the schedule
@@ -112,7 +115,7 @@ def low_discrepancy_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
     length = int(sum(need) * 1.01) + 64 if total else 0
     drawn = spark.range(length).mapInArrow(owners, "slot long, source_id int")
     rank = Window.partitionBy("source_id", "part").orderBy("slot")
-    drawn = drawn.withColumn("part", F.expr("slot div 65536"))
+    drawn = drawn.withColumn("part", F.expr("slot div 4096"))
     before = Window.partitionBy("source_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = drawn.groupBy("source_id", "part").count()
     counts = counts.select("source_id", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
@@ -142,23 +145,25 @@ def low_discrepancy_mix(docs: DataFrame, share: float = 1.5, most: float = 2.0,
         .withColumn("from", F.greatest(F.col("start"), F.col("block") * block) - F.col("block") * block)
         .withColumn("to", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("block") * block)
     )
-    keys = ["source_id", "h", "id", "size", "start"]
+    keys = ["source_id", "h", "g", "id", "size", "start"]
     words = F.col("times") * (F.col("to") - F.col("from")) + F.greatest(F.lit(0), F.least("to", "rest") - F.col("from"))
     taken = piece.join(used, ["source_id", "block"], "left").groupBy(*keys).agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"))
     documents = taken.unionByName(rows.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken")))
-    documents = documents.join(F.broadcast(sources), "source_id").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "start", "taken", "h")
+    documents = documents.join(F.broadcast(sources), "source_id").select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "start", "taken", "h", "g")
     return documents, schedule.select("slot", "source_id", "pass", "block", "words")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs as the mix takes them: whole documents, each as often as the mix takes it to the nearest number of passes.
 
-    Documents without words carry no weight and stay once."""
+    Documents without words carry no weight and stay once. Rows are looked up by seeded hash and text digest; those that repeat
+    id and text count as the one of them that the mix takes most often."""
     documents, _ = low_discrepancy_mix(docs, id_col=id_col, text_col=text_col, **options)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    copies = saved(documents.groupBy(F.col("h").alias("_h")).agg(F.max(copies).alias("_copies")).where("_copies > 0"), "copies")
-    keyed = docs.withColumn("_h", F.xxhash64(F.lit(options.get("seed", 42)), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(copies, "_h").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    h, g, n, copy = (fresh(c, docs.columns) for c in ("h", "g", "copies", "copy"))
+    copies = documents.groupBy(F.col("h").alias(h), F.col("g").alias(g)).agg(F.max(copies).alias(n)).where(F.col(n) > 0)
+    keyed = docs.withColumns(dict(zip((h, g), hashes(id_col, text_col, options.get("seed", 42)))))
+    return keyed.join(saved(copies, "copies"), [h, g]).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
