@@ -9,6 +9,11 @@ member only if it inflates to `WARC/1.` and a whole header block. Records belong
 the last may end beyond it. After a record that was read to its end the scan goes on behind it, so bytes inside
 a payload aren't tried; the places before a range's first member are, and the header check refuses them.
 
+Records of other archives are read too: a block is an HTTP message only if its type says so, else it is the payload (warcinfo,
+resource, metadata); a missing or odd Content-Length leaves the block as long as the member is, and bytes that
+are no UTF-8 are replaced in headers. A payload that is stored without compression and itself holds a whole record is
+told apart only by ranges that begin before it.
+
 Defined cases: null html is an empty payload. Control characters and spaces in a url are percent-escaped; a null url is
 `urn:none`. A null page_id is written as `null` and read back as null. Rows that repeat an id and payload are all
 responses if that id is the largest. An empty table writes no file. Other columns are left out.
@@ -147,7 +152,7 @@ def _inflate(window: _Window, at: int) -> tuple[bytes, int] | None:
 
 
 def _fields(block: bytes) -> dict[str, str]:
-    lines = block.decode("utf-8", "surrogatepass").split("\r\n")[1:]
+    lines = block.decode("utf-8", "replace").split("\r\n")[1:]
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
@@ -156,6 +161,10 @@ def _id(text: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+def _number(text: str | None, otherwise: int) -> int:
+    return int(text) if text and re.fullmatch(r"[0-9]+", text) else otherwise
+
+
 def records(file, size: int, start: int, end: int):
     """(offset, header fields, HTTP fields, payload) of the records that start in [start, end)."""
     window, at = _Window(file, size), start
@@ -166,7 +175,8 @@ def records(file, size: int, start: int, end: int):
             continue
         head, _, rest = found[0].partition(b"\r\n\r\n")
         fields = _fields(head)
-        http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
+        block = rest[: _number(fields.get("content-length"), max(0, len(rest) - 4))]
+        http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
         yield at, fields, _fields(http), payload
         at = found[1]
 
@@ -187,8 +197,8 @@ def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = 32 <<
                 with store.open_input_file(path) as file:
                     for offset, head, http, payload in records(file, row["bytes"], row["start"], row["start"] + split_bytes):
                         out.append(
-                            {"path": row["path"], "offset": offset, "record_type": head["warc-type"], "page_id": _id(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "refers_to": _id(head.get("warc-refers-to")),
-                             "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": int(http.get("content-length", len(payload))), "payload": payload if head["warc-type"] == "response" else None}
+                            {"path": row["path"], "offset": offset, "record_type": (kind := head.get("warc-type")), "page_id": _id(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "refers_to": _id(head.get("warc-refers-to")),
+                             "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": _number(http.get("content-length"), 0) if kind == "revisit" else len(payload), "payload": None if kind == "revisit" else payload}
                         )
                         held += len(payload)
                         if held > 4 << 20 or len(out) >= 2000:
