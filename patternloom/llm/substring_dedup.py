@@ -5,15 +5,15 @@ blocks of (window + 1) // 2 words, so a window that starts anywhere else too mak
 1. Index and probe: the blocks of each document are the index; the hashes of every rolling run of block length are the
    probes. Both meet in hash buckets; a block whose hash is probed from a second place is an anchor. (Short hashes here:
    a false anchor only costs step 2 some work.)
-2. Extend: around anchors, and only there, the windows that hold an anchor are hashed over their full length with 64 bits
-   and meet in buckets again. Those that occur twice are repeats; runs of them are the maximal exact repeats, whose
+2. Extend: around anchors, and only there, the windows that hold an anchor are hashed over their full length with 95 bits
+   (two polynomials, so that 10^12 windows are told apart; words by 64 bits) and meet in buckets again. Those that occur twice are repeats; runs of them are the maximal exact repeats, whose
    union per document is what is cut out. All windows are judged on the input.
 In both steps keys that repeat inside a task's batch are settled there, so a passage that a third of all documents
 hold costs each batch one entry; no pairs of documents are made anywhere.
 
 Defined cases: null and short texts have no windows and lose nothing; a null text keeps the empty string. Rows are
 known by hashes of id and text, so null ids are ordinary, and rows that repeat id and text repeat each other. Empty
-tables give an empty result. Other columns are left out, or kept by `keep`.
+tables give an empty result. Other columns, whatever their names, are left out, or kept by `keep`.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_column, input_mb, release, rolling, saved
+from .common import WordHashes, byte_column, input_mb, rolling, saved
 from .keyed import bucket_bits, pack, repeated, slices, unpack
 
 SHORT = 38  # bits of a block's hash below the bucket's
 BATCH = 1_500_000  # words
+SECOND = np.uint64(0xD6E8FEB86659FD93)  # base of the second polynomial
 PLACE = np.dtype([("row", "<i8"), ("block", "<i4")])
 
 
@@ -104,26 +105,34 @@ def _repeats(rows: DataFrame, anchors: DataFrame, window: int, block: int, bits:
         kinds = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
 
         def flush():
-            keys, at, count = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True, return_counts=True)
-            place = np.concatenate([p for _, p in held]).astype("<u4")
-            multi = count > 1
+            first, second, place = (np.concatenate([x[k] for x in held]) for k in range(3))
+            order = np.lexsort((second, first))
+            first, second = first[order], second[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+            at = np.zeros(len(order), np.int64)
+            at[order] = np.cumsum(new) - 1
+            keys, rest, multi = first[new], second[new], np.bincount(at) > 1
+            place = place.astype("<u4")
             where = np.zeros(len(keys), "<u4")
             where[at] = place
             batch = (TaskContext.get().partitionId() << 24) + number
-            value = keys & ~np.uint64(1) | multi.astype(np.uint64)
+            rest = rest & ~np.uint32(1) | multi.astype(np.uint32)
             out = [{"bucket": batch % (1 << bits), "batch": batch, "places": np.sort(place[multi[at]]).tobytes(), "docs": np.array(docs, "<i8").tobytes()}]
             for bucket, a, b in slices(keys, bits):
-                out.append({"bucket": bucket, "batch": batch, "keys": pack(value[a:b], 8), "places": where[a:b][~multi[a:b]].tobytes()})
+                out.append({"bucket": bucket, "batch": batch, "keys": keys[a:b].astype("<u8").tobytes() + rest[a:b].astype("<u4").tobytes(), "places": where[a:b][~multi[a:b]].tobytes()})
             return pa.RecordBatch.from_pylist(out, kinds)
 
         for batch in batches:
             for row, check, text, blocks in zip(*(batch.column(k).to_pylist() for k in (0, 1)), byte_column(batch, "text"), batch.column(3).to_pylist()):
                 words = text.split()
-                run = rolling(hashes.array(words), window)
+                own = hashes.array(words)
+                run, second = rolling(own, window), rolling(own, window, SECOND)
                 anchor = np.zeros(len(words) // block + 2, bool)
-                anchor[np.array(blocks, np.int64)] = True
+                blocks = np.array(blocks, np.int64)
+                anchor[blocks[blocks < len(anchor)]] = True  # others belong to a row whose hash is the same
                 near = np.flatnonzero(anchor[-(-np.arange(len(run)) // block)])
-                held.append((run[near], near + n))
+                held.append((run[near], (second[near] >> np.uint64(32)).astype(np.uint32), near + n))
                 docs.append((row, check, n))
                 n += len(words)
                 if n >= BATCH:
@@ -140,13 +149,18 @@ def _repeats(rows: DataFrame, anchors: DataFrame, window: int, block: int, bits:
             if docs is not None:
                 out.append((batch, places, docs))
             else:
-                parts.append((batch, np.frombuffer(keys, "<u8"), np.frombuffer(places, "<u4")))
+                n = len(keys) // 12
+                parts.append((batch, np.frombuffer(keys, "<u8", n), np.frombuffer(keys, "<u4", n, 8 * n), np.frombuffer(places, "<u4")))
         if parts:
-            values = np.concatenate([v for _, v, _ in parts])
-            hit = repeated(values >> np.uint64(1))
+            first, second = (np.concatenate([x[k] for x in parts]) for k in (1, 2))
+            order = np.lexsort((second >> np.uint32(1), first))
+            same = (first[order][1:] == first[order][:-1]) & (second[order][1:] >> np.uint32(1) == second[order][:-1] >> np.uint32(1))
+            hit = np.zeros(len(first), bool)
+            hit[order[1:][same]] = True
+            hit[order[:-1][same]] = True
             at = 0
-            for batch, v, places in parts:
-                own = hit[at : at + len(v)][(v & np.uint64(1)) == 0]
+            for batch, _, v, places in parts:
+                own = hit[at : at + len(v)][(v & np.uint32(1)) == 0]
                 at += len(v)
                 if own.any():
                     out.append((batch, places[own].tobytes(), None))
@@ -184,10 +198,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [F.struct(*keep).alias("_kept")] if keep else []
     rows = docs.select(F.col(id_col).alias("_id"), *kept, F.xxhash64(F.col(id_col), text).alias("row"), F.crc32(text.cast("binary")).alias("check"), text.alias("text"))
-    bits = bucket_bits(input_mb(docs))
+    bits = bucket_bits(input_mb(docs, text_col))
     anchors = saved(_anchors(rows.select("row", "text"), window, block, bits), "anchors")
-    repeats = saved(_repeats(rows, anchors, window, block, bits), "repeats")
-    release(docs.sparkSession)
+    repeats = saved(_repeats(rows, anchors, window, block, bits), "repeats", drop=(anchors,))
 
     def cut(batches):
         import pyarrow as pa
