@@ -31,7 +31,10 @@ def test_exact_dedup(docs, texts, weak):
 def test_exact_dedup_nulls_and_empty(spark, nothing):
     df = spark.createDataFrame([(None, "a"), (3, "a"), (None, "b"), (4, None), (4, None)], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).where("doc_id is not null or group_size = 1").collect())
-    assert got == [(False, 3, 3, 2, True), (False, 4, 4, 2, True), (False, 4, 4, 2, True), (True, None, None, 1, True)]
+    assert got == [(False, 3, 3, 2, True), (False, 4, 4, 2, False), (False, 4, 4, 2, True), (True, None, None, 1, True)]
+    again = spark.createDataFrame([(i % 2, "a  b" if i % 3 else "c", 1) for i in range(60)] + [(None, "d", 2)] * 3, "doc_id long, text string, copies long")
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(again).collect()]
+    assert len(got) == 63 and [r for r in sorted(got, key=str) if r[3]] == [(0, 0, 20, True), (0, 0, 40, True), (None, None, 3, True)]
     assert exact_dedup.exact_dedup(nothing).count() == 0
 
 
@@ -153,14 +156,53 @@ ITEMS = [(1, "Alpha beta gamma delta, epsilon zeta eta theta iota kappa"), (2, "
 HELD = ["x alpha beta gamma delta epsilon zeta eta theta y", "Short ITEM here; other-short text", "beta gamma delta epsilon zeta eta theta iota", "lone é word alpha beta", "é word", None, ""]
 
 
-@pytest.mark.parametrize("block", [1_000_000, 5])
+@pytest.mark.parametrize("block", [200_000, 2])
 def test_decontamination(spark, block, nothing):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(HELD)], "doc_id long, text string, n_hit long")
-    got = rows(decontaminate.contamination(df, items, block_words=block))
+    got = rows(decontaminate.contamination(df, items, block_windows=block))
     assert [(r.n_words, r.n_hit, r.items, r.contaminated) for _, r in sorted(got.items())] == [
         (10, 8, ["1", "10"], True), (6, 6, ["2"], False), (8, 8, ["1"], False), (5, 3, ["null"], False), (2, 0, [], False), (0, 0, [], False), (0, 0, [], False),
     ]
     assert decontaminate.contamination(nothing, items).count() == 0
     assert {r.n_items for r in decontaminate.contamination(df, items.limit(0)).collect()} == {0}
     assert decontaminate.item_digest(["1", "10"]) == hashlib.sha256(b"1,10").hexdigest()
+
+
+def hits_of(texts, items, window):
+    """Brute force: per text, number of words hit and names of items found."""
+    windows = {}
+    for name, text in items:
+        w = decontaminate.words_of((text or "").encode())
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(str(name))
+    out = []
+    for t in texts:
+        w = decontaminate.words_of((t or "").encode())
+        hit, names = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    names |= windows[tuple(w[k : k + n])]
+        out.append((len(hit), sorted(names)))
+    return out
+
+
+@pytest.mark.parametrize("block,shingle", [(200_000, 3), (7, 4), (50, 1)])
+def test_decontamination_random(spark, block, shingle):
+    rng = random.Random(block)
+    some = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items = [(i // 2, some(rng.randrange(0, 30))) for i in range(30)]
+    held = [some(rng.randrange(0, 60)) for _ in range(40)] + [items[3][1], f"x {items[5][1]} y {items[5][1]}"] * 2
+    df = spark.createDataFrame([(i % 9, t, i) for i, t in enumerate(held)], "doc_id long, text string, kept long").repartition(3)
+    got = {r.kept["kept"]: (r.n_hit, r["items"]) for r in decontaminate.contamination(df, spark.createDataFrame(items, "item_id long, text string"), shingle=shingle, block_windows=block, keep=["kept"]).collect()}
+    assert [got[i] for i in range(len(held))] == hits_of(held, items, 8)
+
+
+def test_decontamination_long_item(spark):
+    """An item of many distinct words, cut into blocks: no window is lost, whatever the shingle."""
+    words = [f"w{k}" for k in range(150_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[70_000:70_008])), (3, " ".join(words[::2]))], "doc_id long, text string")
+    out = decontaminate.contamination(df, spark.createDataFrame([(5, " ".join(words))], "item_id long, text string"), shingle=4, block_windows=60_000)
+    assert [(r.doc_id, r.n_hit) for r in out.orderBy("doc_id").collect()] == [(1, 150_000), (2, 8), (3, 0)]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from patternloom.llm import chat_format, mixing, sharding, token_files, warc
 from patternloom.llm.common import rolling, workspace
@@ -97,6 +98,37 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(own.encode([t.encode()])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = token_files.vocabulary("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), token_files.PieceEncoder(path, "<u2")
+    assert not own.by_piece and token_files.PieceEncoder(token_files.vocabulary(), "<u2").by_piece
+    for t in ["It's fine  , isn't it", " a\n\nb ", "", "日本語 text"]:
+        assert np.frombuffer(own.encode([t.encode()])[0], "<u2").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_warc_of_others():
+    import gzip
+
+    data = b"".join(
+        gzip.compress(b"WARC/1.0\r\n" + head + b"\r\n\r\n" + body + b"\r\n\r\n")
+        for head, body in [
+            (b"WARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 11", b"a: b\r\n\r\nc: "),
+            (b"WARC-Type: resource\r\nWARC-Target-URI: http://\xff/\r\nContent-Length: odd", b"some bytes"),
+            (b"WARC-Type: response\r\nContent-Type: application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nContent-Length: x\r\n\r\nhello"),
+        ]
+    )
+    got = [(f["warc-type"], payload) for _, f, _, payload in warc.records(io.BytesIO(data), len(data), 0, len(data))]
+    assert got == [("warcinfo", b"a: b\r\n\r\nc: "), ("resource", b"some bytes"), ("response", b"hello")]
+
+
+def test_mixed_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b c", "s", i, i, i, i) for i in range(6)], "doc_id long, text string, source string, h long, g long, copies long, copy long")
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and all(r.h == r.doc_id == r.copies == r.copy == r.g for r in got.collect())
+
+
 PAGES = [(1, "http://a/", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "http://b/ c\r\n", "<p>two</p>" * 5000), (4, "http://d/é", None), (5, "http://e/", ""), (None, "http://f/", "<p>two</p>" * 5000), (6, "http://g/", "WARC/1.1\r\n\r\n\x1f\x8b\x08")]
 
 
@@ -127,12 +159,12 @@ def test_escape_is_reversible(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
 
 
-@pytest.mark.parametrize("budget,history,chunk,carry", [(1024, 256, 1024, 16), (30, 10, 1024, 16), (30, 12, 4, 2), (1, 0, 3, 1)])
-def test_chat(spark, budget, history, chunk, carry):
+@pytest.mark.parametrize("budget,history,stretch", [(1024, 256, 1 << 16), (30, 10, 1 << 16), (30, 12, 40), (1, 0, 3)])
+def test_chat(spark, budget, history, stretch):
     long = [(7, i, "system" if i == 0 else "user" if i % 2 else "assistant", f"turn {i} <|im_end|> {'w ' * (i % 9)}") for i in range(25)]
     turns = [*long, (8, 0, "user", None), (8, 1, "assistant", "<|im_start|>"), (9, None, None, "x"), (None, 1, "ro\nle<|%", "a"), (None, 1, "assistant", "b"), (10, 5, "assistant", "z" * 5000)]
     df = spark.createDataFrame([(*t, "k") for t in turns], "conv_id long, turn long, role string, text string, kind string").repartition(4)
-    windows = chat_format.format_conversations(df, budget, history, chunk, carry).cache()
+    windows = chat_format.format_conversations(df, budget, history, stretch).cache()
     got = {r.conv_id: r for r in chat_format.read_back(windows).collect()}
     for conv in {t[0] for t in turns}:
         own = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in turns if t[0] == conv))
@@ -143,6 +175,11 @@ def test_chat(spark, budget, history, chunk, carry):
     for w in windows.where("conv_id = 7").collect():
         assert "turn 0 <" in w.text  # the system turn is in every window
         assert w.tokens <= budget or w.turns - w.repeated <= 1
+        assert w.text.count("system\n") == 1
+    # windows follow the order of the turns, not their numbers
+    apart = df.withColumn("turn", F.expr("turn * turn * 5000 + turn"))
+    again = chat_format.format_conversations(apart, budget, history, stretch)
+    assert sorted(map(str, again.collect())) == sorted(map(str, windows.collect()))
     assert chat_format.read_back(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
