@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from patternloom.llm import decontaminate, jaccard_join, language_id, mixing, token_files
-from patternloom.llm.common import saved, workspace
+from patternloom.llm.common import fresh, saved, workspace
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from all labelled rows; texts without letters and ambiguous texts go."""
-    judged = language_id.identify(docs, language_id.learn(docs))
-    return judged.where("judged.lang_pred <> 'und' and not judged.ambiguous").select(*docs.columns)
+    name = fresh("judged", docs.columns)
+    judged = language_id.identify(docs, language_id.learn(docs), out_col=name)
+    return judged.where(f"{name}.lang_pred <> 'und' and not {name}.ambiguous").select(*docs.columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +52,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), "stage")
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        docs = saved(stage(spark, docs, sf_dir), "stage", drop=(docs,) if n else ())
     return STAGES[-1][1](spark, docs, sf_dir)
