@@ -2,12 +2,17 @@
 
 State is a set of process ids per scope, changed in the order of events: first the lifecycle (removal of those marked dead
 before, a start of System that clears all, children of known parents, marks of the terminated), then the sources, then
-the event is judged. Rows are dealt by scope and sorted; a task streams them and holds only ids. Give the binding
-scope_cols (a host, say): without them all events share one state and so one task."""
+the event is judged. A mark is taken up by the next process event, so of each process event only the one before matters.
+
+In windows: one pass by scope counts the clearings and finds the id that each process event removes. From there on an id's
+additions, removals and lookups are rows of their own, kept apart by scope, clearing and id, and the latest addition or
+removal tells. Only `descendant of`, where additions depend on earlier ones, folds process events and sources in
+order, as ids, in a task that holds only ids. Give the binding scope_cols (a host, say): without them all events
+share one state, and the pass by scope is one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,55 +60,107 @@ def related(df: DataFrame, query: Query, settings: Settings) -> tuple[DataFrame,
     return df, columns
 
 
-def _with(df: DataFrame, relation: Relation, name: str, settings: Settings, known: dict[Relation, Column]) -> DataFrame:
+def lifecycle(df: DataFrame, settings: Settings, known: dict[Relation, Column]) -> list[Column]:
+    """What an event does to the set of processes: _p process event, _c start, _e end, _r start of System, and the ids _pid, _own
+    (as a source), _parent."""
     binding = settings.binding
-    scope = event_scope(df, settings, known)
-    field = scope.field
-    process = F.col("type") == "process"
-    opcode, subtype, title = field("opcode"), field("subtype"), field("process_name")
+    field = event_scope(df, settings, known).field
+    opcode, subtype, title, pid = field("opcode"), field("subtype"), field("process_name"), field(binding.pid_col)
     if settings.by_opcode:
         code = opcode.col if opcode is not None and opcode.kind == "int" else F.lit(None).cast("long")
         create, ends = code.isin(1, 3, 9), code.isin(2, 4)
     else:
         kind = subtype.col if subtype is not None and subtype.kind == "string" else F.lit(None).cast("string")
         create, ends = kind.isin("create", "fork"), kind == "terminate"
-    pid = field(binding.pid_col)
     four = pid.col == 4 if pid is not None and pid.number else F.lit(False)
     system = title.col == "System" if title is not None and title.kind == "string" else F.lit(False)
-    sure = lambda c: F.coalesce(c, F.lit(False))
+    process = F.col("type") == "process"
+    tests = {"_p": process, "_c": process & create, "_e": process & ends, "_r": process & create & four & system}
+    ids = {"_pid": _key(pid, True), "_own": _key(pid, False), "_parent": _key(field(binding.ppid_col), True)}
+    return [*(F.coalesce(c, F.lit(False)).alias(n) for n, c in tests.items()), *(c.alias(n) for n, c in ids.items())]
+
+
+def _with(df: DataFrame, relation: Relation, name: str, settings: Settings, known: dict[Relation, Column]) -> DataFrame:
+    scope = F.struct(*[F.col("event").getField(c).alias(c) for c in settings.binding.scope_cols] or [F.lit(0).alias("all")])
+    test = stage_test(relation.stage, Compiler(event_scope(df, settings, known)))
+    rows = df.select("*", scope.alias("_s"), *lifecycle(df, settings, known), test.alias("_w"))
     direct = relation.kind == "event"
-    rows = df.select(
-        "*", F.struct(*[F.col("event").getField(c).alias(c) for c in binding.scope_cols] or [F.lit(0).alias("all")]).alias("_s"), sure(process).alias("_p"), sure(create).alias("_c"), sure(ends).alias("_e"),
-        sure(create & four & system).alias("_r"), stage_test(relation.stage, Compiler(scope)).alias("_w"), _key(pid, True).alias("_pid"), _key(pid, False).alias("_own"), _key(field(binding.ppid_col), True).alias("_parent"),
-    )
-    rows = rows.repartition("_s").sortWithinPartitions("_s", "ord")
-    deep = relation.kind == "descendant"
-    keep = df.columns
+    by_scope = Window.partitionBy("_s").orderBy("ord")
+    before = by_scope.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_n", F.sum(F.col("_r").cast("int")).over(by_scope.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_last", F.last(F.when(F.col("_p"), F.struct("_e", "_pid")), True).over(before))
+    rows = rows.withColumn("_gone", F.when(F.col("_p") & F.col("_last._e"), F.col("_last._pid")))
+    if direct:
+        adds = [(2, F.when(F.col("_w"), F.col("_own")))]
+        return _held(_parts(rows, [(0, F.col("_gone")), *adds, (3, _spread("_own"))]), df.columns, "_own", name)
+    slim = rows.where("_p or _w").select("_s", "_n", "ord", "_p", "_c", "_r", "_w", "_pid", "_own", "_parent", "_gone")
+    under = (_descendants if relation.kind == "descendant" else _children)(slim)
+    main = _parts(rows, [(0, F.col("_gone")), (3, _spread("_pid"))]).select(*df.columns, "_s", "_n", "_pid", "_step", "_k")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name != "ord"]
+    under = under.select(*empty, "ord", "_s", "_n", F.lit(None).cast("string").alias("_pid"), F.lit(1).alias("_step"), F.col("_pid").alias("_k"))
+    return _held(main.unionByName(under), df.columns, "_pid", name)
+
+
+def _spread(name: str) -> Column:
+    """An id as a key; without one a key of its own, so that such rows don't meet."""
+    return F.coalesce(F.col(name), F.concat(F.lit("\0"), F.xxhash64("ord").cast("string")))
+
+
+def _parts(rows: DataFrame, parts: list[tuple[int, Column]]) -> DataFrame:
+    """A row for each part that has a key: `_step` (its place in the event: 0 removal, 1 and 2 additions, 3 lookup) and `_k`."""
+    all_ = F.array(*[F.struct(F.lit(step).alias("_step"), key.alias("_k")) for step, key in parts])
+    return rows.withColumn("_x", F.explode(F.filter(all_, lambda x: x.getField("_k").isNotNull()))).select("*", "_x._step", "_x._k").drop("_x")
+
+
+def _known() -> Column:
+    """Whether the key's latest part so far is an addition."""
+    window = Window.partitionBy("_s", "_n", "_k").orderBy("ord", "_step").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(F.col("_step") == 0, False).when(F.col("_step").isin(1, 2), True), True).over(window)
+    return F.coalesce(latest, F.lit(False))
+
+
+def _held(parts: DataFrame, keep: list[str], key: str, name: str) -> DataFrame:
+    """The looked-up rows, each with whether its id is held."""
+    return parts.withColumn("_held", _known()).where("_step = 3").select(*keep, (F.col("_held") & F.col(key).isNotNull()).alias(name))
+
+
+def _children(slim: DataFrame) -> DataFrame:
+    """The started processes whose parent is a source then; looked up before the event's own addition."""
+    parent = F.when(F.col("_p") & F.col("_c") & ~F.col("_r") & F.col("_pid").isNotNull(), F.col("_parent"))
+    source = F.when(F.col("_w"), F.col("_own"))
+    asked = F.array(*[F.struct(F.lit(step).alias("_step"), key.alias("_k")) for step, key in ((0, F.col("_gone")), (1, parent), (2, source))])
+    parts = slim.withColumn("_x", F.explode(F.filter(asked, lambda x: x.getField("_k").isNotNull()))).select("*", "_x._step", "_x._k")
+    window = Window.partitionBy("_s", "_n", "_k").orderBy("ord", "_step").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(F.col("_step") == 0, False).when(F.col("_step") == 2, True), True).over(window)
+    return parts.withColumn("_known", latest).where("_step = 1 and _known").select("_s", "_n", "ord", "_pid")
+
+
+def _descendants(slim: DataFrame) -> DataFrame:
+    """The started processes whose parent is a source or under one then."""
+    rows = slim.repartition("_s").sortWithinPartitions("_s", "ord")
 
     def fold(batches):
         import pyarrow as pa
 
-        scope, fresh = None, True
+        scope, first = None, True
         for batch in batches:
-            at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_s", "_p", "_c", "_e", "_r", "_w", "_pid", "_own", "_parent")}
+            at = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_s", "_p", "_c", "_r", "_w", "_pid", "_own", "_parent", "_gone")}
             out = []
-            for s, p, c, e, r, w, pid, own, parent in zip(*at.values()):
-                if fresh or s != scope:
-                    scope, fresh, sources, under, dead = s, False, set(), set(), set()
-                if p:
-                    sources -= dead
-                    under -= dead
-                    dead = set()
-                    if r:
-                        sources, under = set(), set()
-                    elif c and not direct:
-                        if parent is not None and pid is not None and (parent in sources or deep and parent in under):
-                            under.add(pid)
-                    elif e and pid is not None:
-                        dead.add(pid)
+            for i, (s, p, c, r, w, pid, own, parent, gone) in enumerate(zip(*at.values())):
+                if first or s != scope:
+                    scope, first, sources, under = s, False, set(), set()
+                if gone is not None:
+                    sources.discard(gone)
+                    under.discard(gone)
+                if r:
+                    sources, under = set(), set()
+                elif p and c and pid is not None and (parent in sources or parent in under):
+                    under.add(pid)
+                    out.append(i)
                 if w and own is not None:
                     sources.add(own)
-                out.append(own in sources if direct else pid in under)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in keep), pa.array(out, pa.bool_())], [*keep, name])
+            if out:
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(pa.array(out)) for c in kept], kept)
 
-    return rows.mapInArrow(fold, T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())]))
+    kept = ["_s", "_n", "ord", "_pid"]
+    return rows.mapInArrow(fold, T.StructType([rows.schema[c] for c in kept]))

@@ -45,7 +45,11 @@ class EventBinding:
         kind = df.schema[name].dataType
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             return F.unix_micros(F.col(name).cast("timestamp")) * 10
-        return F.coalesce(F.col(name).try_cast("double" if isinstance(kind, (T.FloatType, T.DoubleType)) else "long").cast("long"), F.lit(0).cast("long")) * UNITS[self.time_unit]
+        # whole numbers stay exact; fractions are scaled before they are cut to ticks
+        unit, value = UNITS[self.time_unit], F.col(name)
+        whole = F.lit(None).cast("long") if isinstance(kind, (T.FractionalType, T.DecimalType)) else value.try_cast("long") * unit
+        scaled = F.lit(None).cast("long") if isinstance(kind, T.IntegralType) else (value.try_cast("double") * unit).cast("long")
+        return F.coalesce(whole, scaled, F.lit(0).cast("long"))
 
     def only(self, df: DataFrame, types: set[str]) -> DataFrame:
         """df with no rows of other event types where one column tells the type, as a filter that reaches the scan."""

@@ -115,3 +115,20 @@ def test_nested_relation(spark, processes):
     inner = set(relation(processes, "event", lambda e: e["type"] == "file" and e["v"] == 1))
     want = relation(processes, "child", lambda e: e["type"] == "process" and e["id"] in inner)
     assert sorted(r.id for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["event", "child"])
+def test_relation_stays_in_the_jvm(spark, processes, kind):
+    df = spark.createDataFrame(processes, "id long, host string, type string, subtype string, pid long, ppid long, v long, name string").withColumnRenamed("name", "process_name")
+    out = compile(f"any where {kind} of [process where v == 0]").run(df, EventBinding(type_col="type", order_cols=("id",), scope_cols=("host",)))
+    assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fractional_times(spark):
+    """Fractions of a unit count: 0.9 s lie between 1.5 and 2.4, more between 1.0 and 2.4."""
+    df = spark.createDataFrame([(1, "a", 1.0, 1), (2, "a", 1.5, 2), (3, "b", 2.4, 1), (4, "b", 2.4, 2)], "id long, type string, t double, u long")
+    binding = EventBinding(type_col="type", time_col="t", time_unit="s", order_cols=("t", "id"))
+    got = compile("sequence by u with maxspan=1s [a where true] [b where true]").frame(df, binding).select(F.transform("events", lambda e: e.getField("id")).alias("x")).collect()
+    assert [list(r.x) for r in got] == [[2, 4]]
+    text = df.withColumn("t", F.col("t").cast("string"))
+    assert compile("sequence by u with maxspan=1s [a where true] [b where true]").frame(text, binding).count() == 1
