@@ -79,13 +79,42 @@ def like(source: Value, patterns: list[Value], fold: bool) -> Value:
 
 
 def java_pattern(pattern: str) -> str:
-    """A pattern in Python's dialect, written in Java's; refuses what the language refuses."""
-    if re.search(r"(?<!\\)(?:\\\\)*\\z", pattern) or re.search(r"(?<!\\)\(\?>", pattern) or re.search(r"(?<!\\)\(\?-[a-z]+\)", pattern):
-        raise QueryError(f"invalid regular expression {pattern!r}", kind="semantic")
+    """A pattern in Python's dialect, written in Java's; refuses what the language refuses. Inside character classes nothing
+    is special but what Java would take for a nested class or an intersection."""
     names: dict[str, str] = {}
-
-    out = re.sub(r"\(\?P<([A-Za-z_]\w*)>|\(\?P=([A-Za-z_]\w*)\)", lambda m: f"(?<{names.setdefault(m[1], f'g{len(names)}')}>" if m[1] else f"\\k<{names.get(m[2], m[2])}>", pattern)
-    return re.sub(r"((?<!\\)(?:\\\\)*)\\Z", r"\1\\z", out)
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        part = pattern[at : at + 2] if pattern[at] == "\\" else pattern[at]
+        if inside:
+            if part == "]":
+                inside = False
+            elif part == "[":
+                part = "\\["
+            elif part == "&" and pattern[at + 1 : at + 2] == "&":
+                out.append("\\")
+            out.append(part)
+            at += len(part) if part != "\\[" or pattern[at] == "\\" else 1
+            continue
+        if part == "[":
+            inside = True
+            begin = re.compile(r"\[\^?\]?").match(pattern, at)[0]
+            out.append(begin.replace("]", "\\]"))
+            at += len(begin)
+            continue
+        if part == "\\z" or part == "(" and re.compile(r"\(\?>|\(\?-[a-z]+\)").match(pattern, at):
+            raise QueryError(f"invalid regular expression {pattern!r}", kind="semantic")
+        if part == "\\Z":
+            out.append("\\z")
+        elif part == "(" and (named := re.compile(r"\(\?P<([A-Za-z_]\w*)>").match(pattern, at)):
+            out.append(f"(?<{names.setdefault(named[1], f'g{len(names)}')}>")
+            part = named[0]
+        elif part == "(" and (named := re.compile(r"\(\?P=([A-Za-z_]\w*)\)").match(pattern, at)):
+            out.append(f"\\k<{names.get(named[1], named[1])}>")
+            part = named[0]
+        else:
+            out.append(part)
+        at += len(part)
+    return "".join(out)
 
 
 def regex(source: Value, patterns: list[Value], fold: bool) -> Value:
@@ -235,12 +264,15 @@ def between(source: Value, left: Value, right: Value, greedy: Value | None, fold
 # addresses
 
 
-def _v4(col: Column) -> Column:
-    part = F.split(col, r"\.")
-    return sum((F.get(part, i).cast("long") * (1 << (24 - 8 * i)) for i in range(4)), F.lit(0).cast("long"))
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+V4 = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
 
 
-V4 = r"\A(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?!\z)|\z)){4}\z"
+def _inside(net: ipaddress.IPv4Network) -> str:
+    """A pattern of the dotted addresses in a network: octets that are fixed, a range, or any."""
+    low, high = net.network_address.packed, net.broadcast_address.packed
+    parts = [OCTET if (a, b) == (0, 255) else "(?:" + "|".join(map(str, range(a, b + 1))) + ")" for a, b in zip(low, high)]
+    return r"\.".join(parts)
 
 
 def cidr_match(source: Value, patterns: list[Value]) -> Value:
@@ -258,12 +290,9 @@ def cidr_match(source: Value, patterns: list[Value]) -> Value:
         except ValueError as bad:
             raise QueryError(f"invalid network {p.literal!r}: {bad}", kind="semantic") from bad
     ip = source.col
+    narrow = [_inside(n) for n in nets if n.version == 4]
+    hit = ip.rlike(rf"\A(?:{'|'.join(narrow)})\z") if narrow else F.lit(False)
     four = ip.rlike(V4)
-    value = F.when(four, _v4(F.when(four, ip)))
-    hit = F.lit(False)
-    for n in nets:
-        if n.version == 4:
-            hit = hit | F.coalesce(value.between(int(n.network_address), int(n.broadcast_address)), F.lit(False))
     wide = [str(n) for n in nets if n.version == 6]
 
     @F.pandas_udf("int")
@@ -284,11 +313,12 @@ def cidr_match(source: Value, patterns: list[Value]) -> Value:
         return pd.Series([one(t) for t in text], dtype="Int32")
 
     if wide:
-        state = six(F.when(~four, ip))
+        state = six(F.when(~hit & ~four, ip))
     else:
-        state = F.when(~four, F.when(ip.rlike(r"\A[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%.+)?\z"), 0).otherwise(-1))
+        state = F.when(~hit, F.when(four | ip.rlike(r"\A[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*(?:%.+)?\z"), 0).otherwise(-1))
     error = errors(source.error, when_error(state == -1, "invalid address"))
-    return boolean(F.when(ip.isNull(), F.lit(False)).otherwise(F.when(four, hit).otherwise(state == 1)), error)
+    inside = hit | F.coalesce(state == 1, F.lit(False)) if wide else hit
+    return boolean(F.coalesce(inside, F.lit(False)), error)
 
 
 # arrays
