@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import Engine, EventBinding, Options, compile
+from .api import Engine, EventBinding, Options, compile, matches
 
 BINDING = EventBinding(type_col="event_type", time_col="ts", order_cols=("ts", "event_id"))
 PROCESS = EventBinding(type_col="kind", time_col="ts", order_cols=("ts", "event_id"), scope_cols=("hostname",))
@@ -46,8 +46,14 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(kind.alias("kind"), subtype.alias("subtype"), (F.col("k") % 23 + 1).alias("pid"), (F.col("user_id") % 23 + 1).alias("ppid"), F.col("name").alias("process_name"), "event_id", "ts", "value", "hostname")
 
 
-def _events(text: str, *columns: str, options: Options = Options()) -> Query:
-    return lambda spark, d: compile(text, options).run(events(spark, d), BINDING).selectExpr(*(columns or ("event_id",)))
+def _restarts(df: DataFrame) -> DataFrame:
+    """The same, but some starts are those of System, after which nothing is known."""
+    system = (F.col("subtype") == "create") & (F.col("event_id") % 11 == 0)
+    return df.withColumn("pid", F.when(system, 4).otherwise(F.col("pid"))).withColumn("process_name", F.when(system, "System").otherwise(F.col("process_name")))
+
+
+def _events(text: str, *columns: str, options: Options = Options(), source: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
+    return lambda spark, d: compile(text, options).run(source(events(spark, d)), BINDING).selectExpr(*(columns or ("event_id",)))
 
 
 def _ranked(text: str, *columns: str) -> Query:
@@ -87,6 +93,105 @@ SELECT v.event_id AS first_id, y.event_id AS last_id FROM y JOIN x v ON v.user_i
 WHERE y.event_type = 'purchase' {consumed} {extra}"""
 
 
+def _steps(columns: str, start: str, emit: str, names: str) -> str:
+    """A state machine per user: columns of state (their SQL from the state r and the next event x), row by row."""
+    return f"""
+WITH RECURSIVE x AS (SELECT user_id, event_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS rn, {start} FROM x
+UNION ALL SELECT x.user_id, x.rn, {columns} FROM r JOIN x ON x.user_id = r.user_id AND x.rn = r.rn + 1)
+SELECT {names} FROM r WHERE {emit}"""
+
+
+_ID, _TIME = "CAST(NULL AS BIGINT)", "CAST(NULL AS TIMESTAMP)"
+#: State: v, vt the latest view and its time; a, at_, b a view and click that wait; oa, ob, oc a match at this event.
+_THREE = _steps(
+    """CASE x.event_type WHEN 'error' THEN NULL WHEN 'view' THEN x.event_id WHEN 'click' THEN NULL ELSE v END,
+  CASE x.event_type WHEN 'error' THEN NULL WHEN 'view' THEN x.ts WHEN 'click' THEN NULL ELSE vt END,
+  CASE WHEN x.event_type IN ('error', 'purchase') THEN NULL WHEN x.event_type = 'click' AND x.ts - vt <= INTERVAL 3 DAY THEN v ELSE a END,
+  CASE WHEN x.event_type IN ('error', 'purchase') THEN NULL WHEN x.event_type = 'click' AND x.ts - vt <= INTERVAL 3 DAY THEN vt ELSE at_ END,
+  CASE WHEN x.event_type IN ('error', 'purchase') THEN NULL WHEN x.event_type = 'click' AND x.ts - vt <= INTERVAL 3 DAY THEN x.event_id ELSE b END,
+  CASE WHEN x.event_type = 'purchase' AND x.ts - at_ <= INTERVAL 3 DAY THEN a END,
+  CASE WHEN x.event_type = 'purchase' AND x.ts - at_ <= INTERVAL 3 DAY THEN b END,
+  CASE WHEN x.event_type = 'purchase' AND x.ts - at_ <= INTERVAL 3 DAY THEN x.event_id END""",
+    f"{_ID} AS v, {_TIME} AS vt, {_ID} AS a, {_TIME} AS at_, {_ID} AS b, {_ID} AS oa, {_ID} AS ob, {_ID} AS oc",
+    "oa IS NOT NULL",
+    "oa AS a, ob AS b, oc AS c",
+)
+#: State: v, vt the latest view; p, pt a view behind which an error of 20 at most has come; oa, ob a match.
+_NEGATIVE = _steps(
+    """CASE x.event_type WHEN 'view' THEN x.event_id WHEN 'error' THEN NULL ELSE v END, CASE x.event_type WHEN 'view' THEN x.ts WHEN 'error' THEN NULL ELSE vt END,
+  CASE WHEN x.event_type = 'purchase' THEN NULL WHEN x.event_type = 'error' AND NOT coalesce(x.value > 20, false) AND x.ts - vt <= INTERVAL 2 DAY THEN v ELSE p END,
+  CASE WHEN x.event_type = 'purchase' THEN NULL WHEN x.event_type = 'error' AND NOT coalesce(x.value > 20, false) AND x.ts - vt <= INTERVAL 2 DAY THEN vt ELSE pt END,
+  CASE WHEN x.event_type = 'purchase' AND x.ts - pt <= INTERVAL 2 DAY THEN p END, CASE WHEN x.event_type = 'purchase' AND x.ts - pt <= INTERVAL 2 DAY THEN x.event_id END""",
+    f"{_ID} AS v, {_TIME} AS vt, {_ID} AS p, {_TIME} AS pt, {_ID} AS oa, {_ID} AS ob",
+    "oa IS NOT NULL",
+    "oa AS a, ob AS b",
+)
+#: State: the slots a, b, c as they are with this event; full slots are a match and start anew at the next event.
+_SLOT = "CASE WHEN x.event_type = 'error' THEN NULL WHEN x.event_type = '{}' {} AND (r.{c} IS NULL OR full_) THEN x.event_id WHEN NOT full_ THEN r.{c} END"
+_JOIN = _steps(
+    ", ".join([_SLOT.format("view", "", c="a"), _SLOT.format("click", "AND x.value > 20", c="b"), _SLOT.format("purchase", "", c="c")])
+    + ", " + " AND ".join(f"({_SLOT.format(t, w, c=c)}) IS NOT NULL" for t, w, c in (("view", "", "a"), ("click", "AND x.value > 20", "b"), ("purchase", "", "c"))),
+    f"{_ID} AS a, {_ID} AS b, {_ID} AS c, false AS full_",
+    "full_",
+    "a, b, c",
+)
+
+_PROCESS_SQL = f"""
+WITH RECURSIVE e AS ({EVENTS_SQL}),
+p AS (SELECT event_id, hostname, value, CASE WHEN event_type IN ('signup', 'error') THEN 'process' ELSE 'file' END AS kind,
+  CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'terminate' END AS subtype, k % 23 + 1 AS pid, user_id % 23 + 1 AS ppid,
+  row_number() OVER (PARTITION BY hostname ORDER BY ts, event_id) AS rn FROM e),
+-- a terminated id goes at the next process event of its host
+gone AS (SELECT hostname, pid, next AS rn FROM (SELECT *, min(CASE WHEN kind = 'process' THEN rn END) OVER (PARTITION BY hostname ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM p)
+  WHERE subtype = 'terminate' AND next IS NOT NULL),
+-- for each event: when its id, if added there, goes again
+t AS (SELECT p.*, (SELECT min(g.rn) FROM gone g WHERE g.hostname = p.hostname AND g.pid = p.pid AND g.rn > p.rn) AS until FROM p)"""
+
+
+def _held(inner: str, *, events_of: str = "t", later: str = "<=") -> str:
+    """Whether an event's id was added by an event of `inner` and has not gone since."""
+    return f"EXISTS (SELECT 1 FROM {inner} s WHERE s.hostname = {events_of}.hostname AND s.pid = {events_of}.{{0}} AND s.rn {later} {events_of}.rn AND (s.until IS NULL OR s.until > {events_of}.rn))"
+
+
+def _children(sources: str, name: str) -> str:
+    return f"{name} AS (SELECT * FROM t WHERE kind = 'process' AND subtype = 'create' AND {_held(sources, later='<').format('ppid')})"
+
+
+_EVENT_OF = f"{_PROCESS_SQL}, s0 AS (SELECT * FROM t WHERE kind = 'process' AND value > 40) SELECT event_id FROM t WHERE kind = 'file' AND {_held('s0').format('pid')}"
+_CHILD_OF = f"{_PROCESS_SQL}, s0 AS (SELECT * FROM t WHERE kind = 'process' AND value > 40), {_children('s0', 'u0')} SELECT event_id FROM t WHERE {_held('u0').format('pid')}"
+_DESCENDANT_OF = f"""{_PROCESS_SQL}, s0 AS (SELECT * FROM t WHERE kind = 'process' AND value > 90), {_children('s0', 'u0')},
+u AS (SELECT hostname, pid, rn, until, event_id FROM u0
+  UNION SELECT c.hostname, c.pid, c.rn, c.until, c.event_id FROM u JOIN t c ON c.subtype = 'create' AND c.hostname = u.hostname AND c.ppid = u.pid AND c.rn > u.rn AND (u.until IS NULL OR u.until > c.rn))
+SELECT event_id FROM t WHERE {_held('u').format('pid')}"""
+_NESTED = f"""{_PROCESS_SQL}, s0 AS (SELECT * FROM t WHERE kind = 'file' AND value > 60), s1 AS (SELECT * FROM t WHERE kind = 'process' AND {_held('s0').format('pid')}),
+{_children('s1', 'u0')} SELECT event_id FROM t WHERE {_held('u0').format('pid')}"""
+
+#: State: z, whether an error of 20 at most has come since the last match; o, a purchase that matches.
+_FIRST_NEGATIVE = _steps(
+    """CASE WHEN x.event_type = 'error' AND NOT coalesce(x.value > 20, false) THEN true WHEN x.event_type = 'purchase' THEN false ELSE z END,
+  CASE WHEN x.event_type = 'purchase' AND z THEN x.event_id END""",
+    f"false AS z, {_ID} AS o",
+    "o IS NOT NULL",
+    "o AS a",
+)
+_PAIRS = _pair().strip()
+
+
+def _nth(sql: str) -> str:
+    """Over the matches of _pair() with their payloads: f and l are the first and last events."""
+    return f"WITH q AS ({_PAIRS}), f AS ({EVENTS_SQL}), m AS (SELECT q.first_id, q.last_id, f.*, l.ts AS last_ts FROM q JOIN f ON f.event_id = q.first_id JOIN f l ON l.event_id = q.last_id) {sql}"
+
+
+_PURCHASES = "sequence by user_id [view where true] [purchase where true]"
+
+#: As _CHILD_OF, where what was added before a start of System goes with it, and such a start is no child.
+_RESET = f"""{_PROCESS_SQL.replace("k % 23 + 1 AS pid", "CASE WHEN event_type = 'signup' AND event_id % 11 = 0 THEN 4 ELSE k % 23 + 1 END AS pid")},
+z AS (SELECT *, count(CASE WHEN kind = 'process' AND subtype = 'create' AND event_id % 11 = 0 THEN 1 END) OVER (PARTITION BY hostname ORDER BY rn) AS n FROM t),
+u0 AS (SELECT c.* FROM z c WHERE c.kind = 'process' AND c.subtype = 'create' AND c.event_id % 11 <> 0 AND EXISTS (SELECT 1 FROM z s WHERE s.kind = 'process' AND s.value > 40
+  AND s.hostname = c.hostname AND s.pid = c.ppid AND s.n = c.n AND s.rn < c.rn AND (s.until IS NULL OR s.until > c.rn)))
+SELECT event_id FROM z WHERE EXISTS (SELECT 1 FROM u0 s WHERE s.hostname = z.hostname AND s.pid = z.pid AND s.n = z.n AND s.rn <= z.rn AND (s.until IS NULL OR s.until > z.rn))"""
+
 ES = Options(extended=True, allow_sample=True, allow_negation=True, allow_runs=True)
 
 _HOSTS = "list_sort(list_distinct(list(hostname))) AS hosts, CAST(count(DISTINCT hostname) AS INTEGER) AS total_hosts"
@@ -187,19 +292,102 @@ SELECT li AS first_id, event_id AS last_id FROM x WHERE event_type = 'error' AND
     "sequence_runs": (_groups("sequence by user_id [view where value > 50] with runs=2", "first_id", "last_id", options=ES), f"""
 WITH e AS ({EVENTS_SQL}), x AS (SELECT *, row_number() OVER w AS rn, lag(event_id) OVER w AS li FROM e WHERE event_type = 'view' AND value > 50 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT li AS first_id, event_id AS last_id FROM x WHERE li IS NOT NULL"""),
-    "sequence_three": (_groups("sequence by user_id with maxspan=3d [view where true] [click where true] [purchase where true] until [error where true]", "a", "b", "c"), None),
-    "sequence_negative": (_groups("sequence by user_id with maxspan=2d [view where true] ![error where value > 20] [purchase where true]", "a", "b", options=ES), None),
+    "sequence_three": (_groups("sequence by user_id with maxspan=3d [view where true] [click where true] [purchase where true] until [error where true]", "a", "b", "c"), _THREE),
+    "sequence_negative": (_groups("sequence by user_id with maxspan=2d [view where true] ![error where value > 20] [purchase where true]", "a", "b", options=ES), _NEGATIVE),
     "sequence_pipes": (_groups("sequence by user_id [view where true] [purchase where true] | filter events[1].value > events[0].value", "first_id", "last_id"), _pair("AND y.value > v.value")),
-    "join_keyed": (_groups("join by user_id [view where true] [click where value > 20] [purchase where true] until [error where true]", "a", "b", "c"), None),
+    "join_keyed": (_groups("join by user_id [view where true] [click where value > 20] [purchase where true] until [error where true]", "a", "b", "c"), _JOIN),
     "sample_keyed": (
         _groups("sample by user_id [view where true] [purchase where true]", "a", "b", options=ES),
         f"""WITH e AS ({EVENTS_SQL}), x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM e WHERE event_type IN ('view', 'purchase'))
 SELECT min_by(event_id, rn) AS a, max_by(event_id, rn) AS b FROM x GROUP BY user_id, rn // 2 HAVING count(*) = 2""",
     ),
-    "relation_event_of": (_processes("file where event of [process where value > 40]"), None),
-    "relation_child_of": (_processes("any where child of [process where value > 40]"), None),
-    "relation_descendant_of": (_processes("any where descendant of [process where value > 90]"), None),
-    "relation_nested": (_processes("any where child of [process where event of [file where value > 60]]"), None),
+    "relation_event_of": (_processes("file where event of [process where value > 40]"), _EVENT_OF),
+    "relation_child_of": (_processes("any where child of [process where value > 40]"), _CHILD_OF),
+    "relation_descendant_of": (_processes("any where descendant of [process where value > 90]"), _DESCENDANT_OF),
+    "relation_nested": (_processes("any where child of [process where event of [file where value > 60]]"), _NESTED),
+    "relation_reset": (
+        lambda spark, d: compile("any where child of [process where value > 40]").run(_restarts(processes(spark, d)), PROCESS).select("event_id"),
+        _RESET,
+    ),
+    "relation_by_opcode": (
+        lambda spark, d: compile("any where child of [process where value > 40]", Options(lifecycle="opcode")).run(
+            processes(spark, d).withColumn("opcode", F.when(F.col("subtype") == "create", 3).when(F.col("subtype") == "terminate", 4)).drop("subtype"), PROCESS).select("event_id"),
+        _CHILD_OF,
+    ),
+    "sequence_first_negative": (_groups("sequence by user_id with maxspan=400d ![error where value > 20] [purchase where true]", "a", options=ES), _FIRST_NEGATIVE),
+    "sequence_one_stage": (_groups("sequence [view where true]", "a", options=ES), "SELECT event_id AS a FROM events WHERE false"),
+    "sequence_alias": (_groups("sequence by user_id [view where true] as v [purchase where true] as p", "first_id", "last_id", options=Options(extended=True, scoped=True)), _pair()),
+    "sequence_fold_keys": (
+        lambda spark, d: compile("sequence by user [view where true] [purchase where true]").frame(
+            events(spark, d).withColumn("user", F.concat(F.when(F.col("event_id") % 2 == 0, "U").otherwise("u"), F.col("user_id").cast("string"))), BINDING
+        ).select(*[F.get("events", F.lit(i)).getField("event_id").alias(c) for i, c in enumerate(("first_id", "last_id"))]),
+        _pair(),
+    ),
+    "sequence_key_number": (
+        lambda spark, d: compile("sequence [view where true] by user_id [purchase where true] by user").frame(events(spark, d).withColumn("user", F.col("user_id").cast("int")), BINDING)
+        .select(*[F.get("events", F.lit(i)).getField("event_id").alias(c) for i, c in enumerate(("first_id", "last_id"))]),
+        _pair(),
+    ),
+    "sequence_seconds": (
+        lambda spark, d: compile("sequence by user_id with maxspan=90s [view where true] [purchase where true]").frame(
+            events(spark, d).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e9), EventBinding(type_col="event_type", time_col="at", time_unit="s", order_cols=("ts", "event_id"))
+        ).select(*[F.get("events", F.lit(i)).getField("event_id").alias(c) for i, c in enumerate(("first_id", "last_id"))]),
+        _pair("AND y.ts - v.ts <= INTERVAL 90000 SECOND"),
+    ),
+    "join_stage_keys": (
+        _groups("join [view where true] by user_id [purchase where true] by k", "a", "b"),
+        f"""WITH RECURSIVE e AS ({EVENTS_SQL}), p AS (SELECT user_id AS key, 1 AS s, ts, event_id FROM e WHERE event_type = 'view' UNION ALL SELECT k, 2, ts, event_id FROM e WHERE event_type = 'purchase'),
+x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS rn FROM p),
+r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, {_ID} AS a, {_ID} AS b FROM x UNION ALL
+  SELECT x.key, x.rn, CASE WHEN r.a IS NOT NULL AND r.b IS NOT NULL THEN CASE WHEN x.s = 1 THEN x.event_id END WHEN x.s = 1 THEN coalesce(r.a, x.event_id) ELSE r.a END,
+    CASE WHEN r.a IS NOT NULL AND r.b IS NOT NULL THEN CASE WHEN x.s = 2 THEN x.event_id END WHEN x.s = 2 THEN coalesce(r.b, x.event_id) ELSE r.b END FROM r JOIN x ON x.key = r.key AND x.rn = r.rn + 1)
+SELECT a, b FROM r WHERE a IS NOT NULL AND b IS NOT NULL""",
+    ),
+    "group_head": (
+        lambda spark, d: compile(_PURCHASES + " | head 9").frame(events(spark, d), BINDING).select(*[F.get("events", F.lit(i)).getField("event_id").alias(c) for i, c in enumerate(("first_id", "last_id"))]),
+        _nth("SELECT first_id, last_id FROM m ORDER BY last_ts, last_id LIMIT 9"),
+    ),
+    "group_tail": (
+        lambda spark, d: compile(_PURCHASES + " | tail 9").frame(events(spark, d), BINDING).select(*[F.get("events", F.lit(i)).getField("event_id").alias(c) for i, c in enumerate(("first_id", "last_id"))]),
+        _nth("SELECT first_id, last_id FROM m ORDER BY last_ts DESC, last_id DESC LIMIT 9"),
+    ),
+    "group_sort": (
+        lambda spark, d: compile(_PURCHASES + " | sort k, value | head 9").frame(events(spark, d), BINDING).select(*[F.get("events", F.lit(i)).getField("event_id").alias(c) for i, c in enumerate(("first_id", "last_id"))]),
+        _nth("SELECT first_id, last_id FROM m ORDER BY k, value, last_ts, last_id LIMIT 9"),
+    ),
+    "group_unique": (_groups(_PURCHASES + " | unique user_id", "first_id", "last_id"), _nth("SELECT min_by(first_id, (last_ts, last_id)) AS first_id, min_by(last_id, (last_ts, last_id)) AS last_id FROM m GROUP BY user_id")),
+    "group_count_keys": (
+        lambda spark, d: compile(_PURCHASES + " | count k").run(events(spark, d), BINDING).select("key", "count", "percent"),
+        _nth("SELECT k AS key, count(*) AS count, count(*) / sum(count(*)) OVER () AS percent FROM m GROUP BY k"),
+    ),
+    "group_count": (lambda spark, d: compile(_PURCHASES + " | count").run(events(spark, d), BINDING).select("key", "count"), _nth("SELECT 'totals' AS key, count(*) AS count FROM m")),
+    "group_unique_count": (
+        lambda spark, d: compile(_PURCHASES + " | unique_count k").run(events(spark, d), BINDING).select("event_id", "k", "count", "percent"),
+        _nth("SELECT min_by(first_id, (last_ts, last_id)) AS event_id, k, count(*) AS count, count(*) / sum(count(*)) OVER () AS percent FROM m GROUP BY k"),
+    ),
+    "sample_stage_keys": (
+        _groups("sample [view where true] by user_id [purchase where true] by k", "a", "b", options=ES),
+        f"""WITH e AS ({EVENTS_SQL}), p AS (SELECT user_id AS key, ts, event_id FROM e WHERE event_type = 'view' UNION ALL SELECT k, ts, event_id FROM e WHERE event_type = 'purchase'),
+x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) - 1 AS rn FROM p)
+SELECT min_by(event_id, rn) AS a, max_by(event_id, rn) AS b FROM x GROUP BY key, rn // 2 HAVING count(*) = 2""",
+    ),
+    "escaped_field": (_events("any where `odd name` > 150", "event_id", source=lambda df: df.withColumnRenamed("value", "odd name")), _where("value > 150")),
+    "precedence": (_events("any where k == 1 or k == 2 and value > 100 or not k < 99 and value - 2 * 3 > 100 % 7"), _where("k = 1 OR (k = 2 AND value > 100) OR (NOT k < 99 AND value - 6 > 2)")),
+    "equals_sign": (_events("any where k = 5 and name = 'VIEW_1'"), _where("k = 5 AND lower(name) = 'view_1'")),
+    "fn_modulo": (_events("any where modulo(k, 7) == 3"), _where("k % 7 = 3")),
+    "fn_tilde": (_events('any where startsWith~(name, "VIEW_1")', options=ES), _where("starts_with(lower(name), 'view_1')")),
+    "matched_one_by_one": (
+        lambda spark, d: matches("purchase where value > 100", events(spark, d), binding=BINDING).select("event_id", "matched"),
+        f"WITH e AS ({EVENTS_SQL}) SELECT event_id, event_type = 'purchase' AND coalesce(value > 100, false) AS matched FROM e",
+    ),
+    "null_strings": (_events('any where not (startsWith(name, "v") or length(name) > 6) or name : "zzz" or length(name) == 0', options=ES), _where("name IS NOT NULL AND NOT (starts_with(lower(name), 'v') OR length(name) > 6) OR length(name) = 0")),
+    "null_length": (_events("any where length(name) == null"), _where("name IS NULL")),
+    "null_string": (_events("any where string(name) == null and concat('a', k) != null"), _where("name IS NULL")),
+    "null_substring": (_events("view where substring(name, 0, 1) == null or between(name, 'q', 'q') != null"), _where("event_type = 'view' AND name IS NULL")),
+    "wrong_kind_strings": (_events("any where startsWith(k, 'x') or value > 195"), _where("value > 195")),
+    "short_circuit": (_events("any where value > 150 or safe(1 % (k - k)) == 1"), _where("value > 150")),
+    "null_in_set": (_events("any where not (name in ('view_1', 'x'))"), _where("name IS NOT NULL AND lower(name) <> 'view_1'")),
+    "null_arithmetic": (_events("any where (k + null) == null and value > 190"), _where("value > 190")),
     "multi_rule": (
         lambda spark, d: Engine([compile("view where value > 100", name="a"), compile("any where k == 3", name="b")], BINDING).run(events(spark, d)).select("rule_id", "event_id"),
         f"WITH e AS ({EVENTS_SQL}) SELECT 'a' AS rule_id, event_id FROM e WHERE event_type = 'view' AND value > 100 UNION ALL SELECT 'b', event_id FROM e WHERE k = 3",
