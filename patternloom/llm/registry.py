@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_jaccard_join": jaccard_join.ORACLE,
+    "op3_sharding": sharding.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op7_warc": warc.ORACLE,
     "op4_substring_dedup": substring_dedup.ORACLE,

@@ -91,3 +91,31 @@ def feistel_shards(docs: DataFrame, shards: int = 8, seed: int = 42, id_col: str
 def op3_sharding(spark, sf_dir: str) -> DataFrame:
     out = feistel_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _mixed(x: str, source: str) -> str:
+    """mix() of column x of a query, as its column m, one subquery a step."""
+    step = lambda shift, factor, inner: f"SELECT *, CAST(CAST(xor(m, m >> {shift}) AS UHUGEINT) * {factor} % 18446744073709551616 AS UBIGINT) AS y FROM ({inner})"
+    renamed = lambda inner: f"SELECT * EXCLUDE (m, y), y AS m FROM ({inner})"
+    out = renamed(step(30, 0xBF58476D1CE4E5B9, f"SELECT *, {x} AS m FROM {source}"))
+    out = renamed(step(27, 0x94D049BB133111EB, out))
+    return f"SELECT * EXCLUDE (m), xor(m, m >> 31) AS m FROM ({out})"
+
+
+_ROUNDS = ", ".join(f"({j}, CAST({int(k)} AS UBIGINT))" for j, k in enumerate(Feistel(1).keys))
+#: crc32 byte by byte; the rounds of the network row by row, again and again until the number falls inside.
+ORACLE = f"""
+WITH RECURSIVE g AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM g WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM g WHERE k = 8),
+d AS (SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE octet_length(encode(text)) END + 1 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+e AS (SELECT doc_id, size, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(c >> 8, t[1 + (xor(c, x) & 255)])), 4294967295) AS crc FROM d, tab),
+o AS (SELECT *, CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS UBIGINT) AS i FROM e),
+z AS (SELECT CAST(n AS UBIGINT) AS n, half, CAST((1 << half) - 1 AS UBIGINT) AS mask FROM (SELECT count(*) AS n, greatest(1, (length(ltrim(bin(greatest(count(*) - 1, 1)), '0')) + 1) // 2) AS half FROM e)),
+keys(j, key) AS (VALUES {_ROUNDS}),
+w AS (SELECT i, 0 AS r, i >> half AS a, i & mask AS b FROM o, z
+  UNION ALL SELECT i, r + 1, b, xor(a, m & mask) FROM ({_mixed("xor(b, key)", "(SELECT w.*, key, mask FROM w, z, keys WHERE j = r % 6 AND NOT (r > 0 AND r % 6 = 0 AND ((a << half) | b) < n))")})),
+p AS (SELECT w.i, CAST((a << half) | b AS BIGINT) AS place FROM w, z WHERE r > 0 AND r % 6 = 0 AND ((a << half) | b) < n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place % 8 AS INTEGER) AS shard, place // 8 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o JOIN p ON p.i = o.i
+"""
