@@ -344,8 +344,7 @@ def _member_pairs(lists: DataFrame, roots: DataFrame, pairs: DataFrame, percent:
 
 def _linked(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Saved."""
-    pairs = saved(pairs, "pairs")
-    return saved(verified(pairs, lists, percent).where("ok").select("a", "b"), "links", drop=(pairs,))
+    return saved(verified(pairs, lists, percent).where("ok").select("a", "b"), "links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, look: int = 8, small_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,10 +398,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "row")).alias("best")
     kept = found.where("component is not null").groupBy("component").agg(best).select("best.id", "best.row")
     alone = found.where("component is null").select(F.col(id_col).alias("id"), "row")
+    again = not found.groupBy(id_col, "row").count().where("count > 1").isEmpty()
     kept = saved(kept.unionByName(alone).distinct(), "kept", drop=(found,))
     row, number = fresh("row", docs.columns), fresh("number", docs.columns)
     rows = docs.withColumn(row, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     rows = rows.join(kept, rows[id_col].cast("long").eqNullSafe(kept["id"]) & (rows[row] == kept["row"]), "left_semi")
+    if not again:
+        return rows.select(*docs.columns)
     once = Window.partitionBy(id_col, row).orderBy(F.lit(1))
     return rows.withColumn(number, F.row_number().over(once)).where(F.col(number) == 1).select(*docs.columns)
 
