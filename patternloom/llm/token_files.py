@@ -74,7 +74,8 @@ class PieceEncoder:
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        found = json.loads(self.tokenizer.to_str())
+        text = self.tokenizer.to_str()
+        found = json.loads(text[: text.index('"model":')].rstrip(" ,\n") + "}")  # the vocabulary comes last and is left out
         added = [t["content"] for t in found["added_tokens"]]
         self.by_piece = all(found[k] == v for k, v in SETTINGS.items()) and found["post_processor"] is None and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
         self.model = self.tokenizer.model
