@@ -35,6 +35,24 @@ def test_shards(docs, texts, nothing):
     assert sharding.feistel_shards(nothing).count() == 0
 
 
+def test_shards_of_repeated_rows(spark):
+    df = spark.createDataFrame([(i % 3, "a" if i % 2 else None, i) for i in range(50)] + [(None, "b", 0)] * 5, "doc_id long, text string, place long").repartition(4)
+    got = sharding.feistel_shards(df, 4).collect()
+    assert sorted(r.row_number for r in got) == list(range(55))
+    for s in range(4):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(14 if s < 3 else 13))
+
+
+def test_repeated_ids_in_files(spark):
+    rows = [(1, "b c"), (1, "a"), (1, "b c"), (0, "z")]
+    manifest = token_files.write_tokens(spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, start long").repartition(3), workspace(spark, "t"), token_files.vocabulary())
+    back = token_files.read_tokens(spark, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in back] == [0, 1, 1, 1] and bytes(back[2].tokens) == bytes(back[3].tokens) and len(back[1].tokens) < len(back[2].tokens)
+    pages = spark.createDataFrame([(1, "u", "x", "d", 0), (2, "u", "x", "d", 0), (2, "u", "x", "d", 0), (3, "v", "y" * 200_000, "d", 0)], "page_id long, url string, html string, digest string, n long").repartition(3)
+    got = sorted((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_warc(spark, warc.write_warc(pages, workspace(spark, "w"))).collect())
+    assert got == [(1, "revisit", 2, 1), (2, "response", None, 1), (2, "response", None, 1), (3, "response", None, 200_000)]
+
+
 def test_targets():
     assert mixing.fill_targets([100, 100, 100], [5, 2, 1], 450, 2) == [200.0, 500 / 3, 250 / 3]
     assert mixing.fill_targets([10, 0], [5, 2], 15, 2) == [15.0, 0.0]

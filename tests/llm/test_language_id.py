@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from patternloom.llm import language_id
 
@@ -42,3 +43,16 @@ def test_nothing_to_learn(spark):
     assert language_id.identify(df.limit(0), model).count() == 0
     one = language_id.learn(df.selectExpr("doc_id", "text", "'xx' AS lang"))
     assert [r.judged.lang_pred for r in language_id.identify(df, one).collect()] == ["xx"]
+
+
+def test_many_labels_and_clashing_columns(spark):
+    rng = random.Random(2)
+    rows = [(i % 50, make(rng, lang, 30), lang) for i in range(120) for lang in ("aa", "bb")] + [(i, "qqq zzz", f"odd{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df, most_languages=2)
+    assert model.languages == ["aa", "bb"]
+    named = df.withColumnRenamed("lang", "judged")
+    with pytest.raises(ValueError):
+        language_id.identify(named, model)
+    got = language_id.identify(named, model, out_col="found").collect()
+    assert len(got) == len(rows) and np.mean([r.found.lang_pred == r.judged for r in got if len(r.judged) == 2]) > 0.97

@@ -66,3 +66,9 @@ def test_whole_run(spark, folder):
     assert corpus_pipeline.run(spark, path).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
     assert token_files.vocabulary().endswith(".json")
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
