@@ -109,42 +109,45 @@ class _Window:
     def __init__(self, file, size: int):
         self.file, self.size, self.at, self.data = file, size, 0, b""
 
-    def piece(self, at: int) -> bytes:
-        """Some bytes from position at on; empty at the end."""
+    def piece(self, at: int, most: int = PIECE) -> bytes:
+        """At most `most` bytes from position at on; empty at the end."""
         if not self.at <= at < self.at + len(self.data):
             self.file.seek(at)
             self.at, self.data = at, self.file.read(min(self.PIECE, self.size - at)) if at < self.size else b""
-        return self.data[at - self.at :]
+        return self.data[at - self.at : at - self.at + most]
 
     def find(self, what: bytes, at: int, end: int) -> int:
         """The first place in [at, end) where what starts, or -1."""
         while at < end:
-            data = self.piece(at)
-            if len(data) < len(what):
+            if len(self.piece(at, len(what))) < len(what):
                 self.data = b""
-                if len(data := self.piece(at)) < len(what):
+                if len(self.piece(at, len(what))) < len(what):
                     return -1
-            k = data.find(what)
+            k = self.data.find(what, at - self.at)
             if k >= 0:
-                return at + k if at + k < end else -1
-            at += len(data) - len(what) + 1
+                return self.at + k if self.at + k < end else -1
+            at = self.at + len(self.data) - len(what) + 1
         return -1
 
 
 def _inflate(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """(content, end) of the member that starts at `at`, or None if it isn't a WARC record's."""
-    unpack, out, checked = zlib.decompressobj(31), [], False
+    """(content, end) of the member that starts at `at`, or None if it isn't a WARC record's.
+
+    It is fed in steps that double, so a short member costs no copy of the bytes behind it."""
+    unpack, out, checked, step = zlib.decompressobj(31), [], False, 512
     try:
         while not unpack.eof:
-            data = window.piece(at)
+            data = window.piece(at, step)
             if not data:
                 return None
-            out.append(unpack.decompress(data if checked else data[:512]))
-            at += len(data if checked else data[:512])
+            out.append(unpack.decompress(data))
+            at += len(data)
             if not checked and len(out[-1]) >= 7:
                 if not b"".join(out).startswith(b"WARC/1."):
                     return None
                 checked = True
+            if checked:
+                step = min(2 * step, window.PIECE)
     except zlib.error:
         return None
     content = b"".join(out)

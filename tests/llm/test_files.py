@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 import zlib
 
 import numpy as np
@@ -177,6 +178,16 @@ def test_escape_is_reversible(text):
     assert chat_format.unescape(chat_format.escape(text)) == text and "<|" not in chat_format.escape(text)
 
 
+def test_warc_reader_copies_little(monkeypatch):
+    """What a window hands out is in proportion to the file, however many records follow each other in it."""
+    handed, piece = [], warc._Window.piece
+    monkeypatch.setattr(warc._Window, "piece", lambda *a: handed.append(len(out := piece(*a))) or out)
+    data = b"".join(warc.member(i, "u", random.Random(i).randbytes(3000), False, None) for i in range(400))
+    got = [(f["warc-record-id"], payload) for _, f, _, payload in warc.records(io.BytesIO(data), len(data), 0, len(data))]
+    assert got == [(warc.urn(i), random.Random(i).randbytes(3000)) for i in range(400)]
+    assert sum(handed) < 3 * len(data)
+
+
 @pytest.mark.parametrize("budget,history,stretch", [(1024, 256, 1 << 16), (30, 10, 1 << 16), (30, 12, 40), (1, 0, 3)])
 def test_chat(spark, budget, history, stretch):
     long = [(7, i, "system" if i == 0 else "user" if i % 2 else "assistant", f"turn {i} <|im_end|> {'w ' * (i % 9)}") for i in range(25)]
