@@ -35,11 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_column, discard, fresh, input_mb, remove, rolling, saved, workspace
+from .common import byte_column, discard, fresh, hashed_words, input_mb, remove, rolling, saved, workspace
 from .components import components
-from .keyed import bucket_bits, pack, repeated, slices, unpack
+from .keyed import binary, bucket_bits, joined, pack, shared, slices, unpack
 
 BATCH = 1_000_000  # shingles
+ROWS = 256  # texts whose words are hashed together
 DOC = np.dtype([("id", "<i8"), ("null", "<i4"), ("n", "<i4"), ("row", "V16"), ("node", "V16"), ("sampled", "<i4"), ("known", "<i4")])
 REP = np.dtype([("node", "V16"), ("n", "<i4")])
 SHORT = 39  # bits of a sampled hash below the bucket's
@@ -53,9 +54,20 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
-def shingles(text: bytes, hashes: WordHashes, k: int) -> np.ndarray:
-    words = text.lower().split()
-    return np.unique(rolling(hashes.array(words), min(k, len(words)))) if words else np.zeros(0, np.uint64)
+def shingles(texts: list[bytes], k: int):
+    """The sorted set of each text."""
+    words, counts = hashed_words(texts)
+    runs, at = rolling(words, k), 0
+    for n in counts.tolist():
+        yield np.unique(runs[at : at + n - k + 1] if n >= k else rolling(words[at : at + n], n) if n else runs[:0])
+        at += n
+
+
+def _parts(batches):
+    """Rows that are shingled together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
@@ -72,8 +84,7 @@ def _sets(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        hashes, held, docs, n, number = WordHashes(), [], [], 0, 0
-        kinds = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())])
+        held, docs, n, number = [], [], 0, 0
 
         def flush():
             table = np.array(docs, DOC)
@@ -85,14 +96,17 @@ def _sets(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
             where[at] = owner
             batch = (TaskContext.get().partitionId() << 24) + number
             value = (keys << np.uint64(bits)) >> np.uint64(64 - SHORT) << np.uint64(1) | multi.astype(np.uint64)
-            out = [{"bucket": batch % (1 << bits), "batch": batch, "docs": table.tobytes()}]
-            for bucket, a, b in slices(keys, bits):
-                out.append({"bucket": bucket, "batch": batch, "keys": pack(value[a:b], 5), "places": where[a:b][~multi[a:b]].tobytes()})
-            return pa.RecordBatch.from_pylist(out, kinds)
-
-        for batch in batches:
-            for i, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_column(batch, "text")):
-                own = shingles(text, hashes, k)
+            single, cut = ~multi, slices(keys, bits)
+            start = np.array([x for _, x, _ in cut], np.int64)
+            size, alone = np.diff([*start, len(keys)]), np.add.reduceat(single, start, dtype=np.int64) if len(cut) else start
+            return pa.RecordBatch.from_arrays(
+                [pa.array([batch % (1 << bits), *(x for x, _, _ in cut)], pa.int64()), pa.array([batch] * (len(cut) + 1), pa.int64()), binary(np.frombuffer(pack(value, 5), np.uint8), [0, *(5 * size)]),
+                 binary(where[single].view(np.uint8), [0, *(2 * alone)]), pa.array([table.tobytes(), *[None] * len(cut)], pa.binary())],
+                ["bucket", "batch", "keys", "places", "docs"],
+            )
+
+        for batch in _parts(batches):
+            for i, row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(byte_column(batch, "text"), k)):
                 part = own[own & np.uint64(1) == 0]
                 docs.append((i or 0, i is None, len(own), row, xxhash.xxh3_128_digest(own.tobytes()), len(part), 0))
                 held.append(part)
@@ -106,38 +120,32 @@ def _sets(rows: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     def meet(table):
         import pyarrow as pa
 
-        out, parts = [], []
-        for batch, keys, places, docs in zip(*(table.column(c).to_pylist() for c in ("batch", "keys", "places", "docs"))):
-            if docs is not None:
-                out.append((batch, None, docs))
-            else:
-                parts.append((batch, unpack(keys, 5), np.frombuffer(places, "<u2")))
-        if parts:
-            values = np.concatenate([v for _, v, _ in parts])
-            key = values >> np.uint64(1)
-            hit = repeated(key) | np.isin(key, np.unique(key[(values & np.uint64(1)) > 0]))
-            at = 0
-            for batch, v, places in parts:
-                own = hit[at : at + len(v)][(v & np.uint64(1)) == 0]
-                at += len(v)
-                if own.any():
-                    doc, count = np.unique(places[own], return_counts=True)
-                    out.append((batch, np.stack([doc.astype("<i4"), count.astype("<i4")]).tobytes(), None))
-        batch, counts, docs = zip(*out) if out else ((), (), ())
-        return pa.table({"batch": pa.array(batch, pa.int64()), "counts": pa.array(counts, pa.binary()), "docs": pa.array(docs, pa.binary())})
+        told = table.filter(table.column("docs").is_valid()).select(["batch", "docs"])
+        table = table.filter(table.column("docs").is_null())
+        data, size = joined(table.column("keys"))
+        values, places, size = unpack(data, 5), joined(table.column("places"))[0].view("<u2"), size // 5
+        counts, rows = np.zeros((0, 2), "<i4"), np.zeros(0, np.int64)
+        if len(values):
+            multi = (values & np.uint64(1)) > 0
+            hit = shared(values >> np.uint64(1), multi)[~multi]
+            own = np.repeat(np.arange(len(size)), size)[~multi][hit]
+            pairs, count = np.unique(own << 16 | places[hit], return_counts=True)
+            counts = np.stack([pairs & 0xFFFF, count], 1).astype("<i4")
+            rows = np.bincount(pairs >> 16, minlength=len(size))
+        met = table.select(["batch"]).filter(pa.array(rows > 0)) if len(rows) else table.select(["batch"]).slice(0, 0)
+        batch = pa.chunked_array([*told.column("batch").chunks, *met.column("batch").chunks], pa.int64())
+        return pa.table({"batch": batch, "counts": pa.chunked_array([pa.nulls(len(told), pa.binary()), binary(counts.view(np.uint8), 8 * rows[rows > 0])]), "docs": pa.chunked_array([*(c.cast(pa.binary()) for c in told.column("docs").chunks), pa.nulls(len(met), pa.binary())], pa.binary())}).combine_chunks()
 
     def judge(table):
         import pyarrow as pa
 
-        docs = np.frombuffer(next(d for d in table.column("docs").to_pylist() if d is not None), DOC)
+        docs = joined(table.column("docs"))[0].view(DOC)
         known = docs["known"].astype(np.int64)
-        for counts in table.column("counts").to_pylist():
-            if counts is not None:
-                doc, count = np.frombuffer(counts, "<i4").reshape(2, -1)
-                known[doc] += count
+        doc, count = joined(table.column("counts"))[0].view("<i4").reshape(-1, 2).T
+        known += np.bincount(doc, count, minlength=len(docs)).astype(np.int64)
         n = docs["n"].astype(np.int64)
         near = (n > 0) & (known >= docs["sampled"] - (n - needed(n, percent)))
-        return pa.table({"id": pa.array(docs["id"], mask=docs["null"] > 0), "n": pa.array(n), "row": pa.array([x.tobytes() for x in docs["row"]], pa.binary()), "node": pa.array([x.tobytes() for x in docs["node"]], pa.binary()), "near": pa.array(near)})
+        return pa.table({"id": pa.array(docs["id"], mask=docs["null"] > 0), "n": pa.array(n), **{c: binary(np.ascontiguousarray(docs[c]).view(np.uint8), [16] * len(docs)) for c in ("row", "node")}, "near": pa.array(near)})
 
     dealt = rows.mapInArrow(sample, "bucket long, batch long, keys binary, places binary, docs binary")
     met = dealt.groupBy("bucket").applyInArrow(meet, "batch long, counts binary, docs binary")
@@ -154,15 +162,14 @@ def _lists(rows: DataFrame, wanted: DataFrame, k: int, percent: int, bits: int)
         import pyarrow as pa
         import xxhash
 
-        hashes, held, docs, met, n, number = WordHashes(), [], [], set(), 0, 0
+        held, docs, met, n, number = [], [], set(), 0, 0
 
         def flush():
             batch = (TaskContext.get().partitionId() << 24) + number
             return pa.RecordBatch.from_arrays([pa.array([batch]), pa.array([np.array(docs, REP).tobytes()], pa.binary()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["batch", "docs", "sets"])
 
-        for batch in batches:
-            for text in byte_column(batch, "text"):
-                own = shingles(text, hashes, k)
+        for batch in _parts(batches):
+            for own in shingles(byte_column(batch, "text"), k):
                 node = xxhash.xxh3_128_digest(own.tobytes())
                 if node in met:
                     continue
@@ -183,20 +190,20 @@ def _lists(rows: DataFrame, wanted: DataFrame, k: int, percent: int, bits: int)
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys, count = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
                 out = slices(keys, bits)
+                size = np.array([y - x for _, x, y in out], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b for b, _, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([keys[x:y].tobytes() for _, x, y in out], pa.binary()), pa.array([count[x:y].astype("<u4").tobytes() for _, x, y in out], pa.binary())],
+                    [pa.array([b for b, _, _ in out], pa.int64()), pa.array([number] * len(out), pa.int64()), binary(keys.view(np.uint8), 8 * size), binary(count.astype("<u4").view(np.uint8), 4 * size)],
                     ["bucket", "batch", "keys", "counts"],
                 )
 
     def rarity(table):
         import pyarrow as pa
 
-        keys = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]))
+        keys, size = joined(table.column("keys"))
+        _, at = np.unique(keys.view("<u8"), return_inverse=True)
+        total = np.bincount(at, joined(table.column("counts"))[0].view("<u4"))
         code = np.minimum(255, np.floor(8 * np.log2(total))).astype(np.uint8)[at]
-        cuts = np.cumsum([0, *map(len, keys)])
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "codes": pa.array([code[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "codes": binary(code, size // 8)})
 
     def order(batches):
         import pyarrow as pa
@@ -352,7 +359,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 75, look: int
     (its key; null for sets that can't have a partner). Saved."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("row"), text.alias("text"))
-    bits = bucket_bits(input_mb(docs, text_col), keys_per_bucket=300_000)
+    bits = bucket_bits(input_mb(docs, text_col))
     sets = saved(_sets(rows, k, percent, bits), "rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     classes = sets.where("near").groupBy("node").agg(first, F.count(F.lit(1)).alias("class_size"))

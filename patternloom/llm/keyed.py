@@ -44,3 +44,35 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out
+
+
+def joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a binary Arrow column, and each value's length (null: 0)."""
+    import pyarrow as pa
+
+    column = pa.concat_arrays([c.cast(pa.binary()) for c in column.chunks]) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    column = column.fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def binary(data, lengths):
+    """A binary Arrow column of values that follow each other in data."""
+    import pyarrow as pa
+
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def shared(key: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """Which of the keys occur more than once or are equal to a marked one."""
+    order = np.argsort(key)
+    ranked = key[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    size = np.diff(np.concatenate([first, [len(key)]]))
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat((size > 1) | np.logical_or.reduceat(marked[order], first), size)
+    return out

@@ -110,6 +110,48 @@ def test_jaccard_random_families(spark):
     assert [got[i].component_id for i in range(len(out))] == component_of(out)[1]
 
 
+def test_words_are_hashed_together():
+    """Words as split() cuts them, whatever their length; no Python call for each word."""
+    import sys
+
+    from patternloom.llm.common import hashed_words
+
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abAB \t\n\x0b\x0c\r\x00\x1c\xc3\xa9") for _ in range(rng.randrange(90))) for _ in range(900)]
+    texts += [b"", b" ", *(b"x" * n for n in range(1, 140)), b"y" * 64 + b" " + b"y" * 65]
+    hashes, counts = hashed_words(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert counts.tolist() == [len(t.split()) for t in texts] and len({*zip(words, hashes.tolist())}) == len({*words}) == len({*hashes.tolist()})
+
+    def calls(text):
+        n = 0
+
+        def note(*_):
+            nonlocal n
+            n += 1
+
+        sys.setprofile(note)
+        list(jaccard_join.shingles([text], 5))
+        sys.setprofile(None)
+        return n
+
+    assert calls(" ".join(f"w{i}" for i in range(9000)).encode()) <= calls(b"a b c d e f g h i j") + 20
+
+
+def test_bucket_columns():
+    """Columns of packed values, with nulls and slices, come back as they were; marked and repeated keys are found."""
+    import numpy as np
+    import pyarrow as pa
+
+    from patternloom.llm import keyed
+
+    values = [b"ab", None, b"", b"cde", b"f"]
+    data, size = keyed.joined(pa.chunked_array([pa.array(values, pa.binary())[1:], pa.array([], pa.binary()), pa.array(values, pa.binary())]))
+    assert data.tobytes() == b"cdefabcdef" and size.tolist() == [0, 0, 3, 1, 2, 0, 0, 3, 1]
+    assert keyed.binary(data, size).to_pylist() == [b"", b"", b"cde", b"f", b"ab", b"", b"", b"cde", b"f"]
+    assert keyed.shared(np.array([5, 1, 5, 2, 3], np.uint64), np.array([0, 0, 0, 1, 0], bool)).tolist() == [True, False, True, True, False]
+
+
 def test_one_of_each_keeps_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b c", 5, "r"), (2, "a b c", 6, "s")], "doc_id long, text string, number long, row string")
     got = jaccard_join.one_of_each(df).collect()
