@@ -124,6 +124,50 @@ def test_relation_stays_in_the_jvm(spark, processes, kind):
     assert "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def most_read(spark, run):
+    """The largest share of a stage's shuffled rows that one task reads while run() runs, over stages that read 2,000 rows or more."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: [store.stageList(None, False, False, none, None).apply(i) for i in range(store.stageList(None, False, False, none, None).size())]
+    before, changed, shares = {s.stageId() for s in stages()}, {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}, []
+    old = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        run()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for stage in (s for s in stages() if s.stageId() not in before and s.shuffleReadRecords() >= 2000):
+        tasks = store.taskList(stage.stageId(), stage.attemptId(), 1000)
+        shares.append(max(tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())) / stage.shuffleReadRecords())
+    assert shares
+    return max(shares)
+
+
+@pytest.mark.parametrize("text,lifecycle", [
+    pytest.param("any where child of [process where event of [file where v < 6]]", "subtype", id="relation_nested"),
+])
+def test_scope_is_no_single_task(spark, processes, monkeypatch, text, lifecycle):
+    """All events are of one scope, with 50 ids; no task gets most of them."""
+    monkeypatch.setattr("patternloom.operators.relations.SAMPLE", 200, raising=False)  # one task reads this bounded number
+    rows = [{**e, "pid": e["id"] * 7919 % 50 + 4, "ppid": e["id"] * 104729 % 50 + 4, "opcode": {"create": 1, "fork": 3, "terminate": 2}.get(e["subtype"])} for e in processes]
+    df = spark.createDataFrame(rows, "id long, host string, type string, subtype string, opcode long, pid long, ppid long, v long, name string").withColumnRenamed("name", "process_name")
+    out = compile(text, Options(lifecycle=lifecycle)).run(df, EventBinding(type_col="type", order_cols=("id",)))
+    assert most_read(spark, lambda: out.write.format("noop").mode("overwrite").save()) < 0.35
+
+
+def test_relations_of_few_or_unordered_rows(spark, processes):
+    """Fewer rows than cuts, none at all, and an order that is one number for all."""
+    schema = "id long, host string, type string, subtype string, pid long, ppid long, v long, name string"
+    for rows in (processes[:40], []):
+        df = spark.createDataFrame(rows, schema).withColumnRenamed("name", "process_name")
+        got = compile("any where child of [process where v < 9]").run(df, EventBinding(type_col="type", order_cols=("id",))).select("id").collect()
+        assert sorted(r.id for r in got) == relation(rows, "child", lambda e: e["type"] == "process" and e["v"] < 9)
+    df = spark.createDataFrame([e for e in processes if e["type"] == "process"][:1], schema)
+    assert compile("any where event of [process where true]").run(df, EventBinding(type_col="type")).count() == 1
+
+
 def test_fractional_times(spark):
     """Fractions of a unit count: 0.9 s lie between 1.5 and 2.4, more between 1.0 and 2.4."""
     df = spark.createDataFrame([(1, "a", 1.0, 1), (2, "a", 1.5, 2), (3, "b", 2.4, 1), (4, "b", 2.4, 2)], "id long, type string, t double, u long")
