@@ -148,6 +148,7 @@ def most_read(spark, run):
 @pytest.mark.parametrize("text,lifecycle", [
     pytest.param("any where child of [process where event of [file where v < 6]]", "subtype", id="relation_nested"),
     pytest.param("any where child of [process where v < 6]", "opcode", id="relation_by_opcode"),
+    pytest.param("any where child of [process where v < 6]", "subtype", id="relation_child_of"),
 ])
 def test_scope_is_no_single_task(spark, processes, monkeypatch, text, lifecycle):
     """All events are of one scope, with 50 ids; no task gets most of them."""
