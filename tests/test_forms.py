@@ -150,6 +150,7 @@ def most_read(spark, run):
     pytest.param("any where child of [process where v < 6]", "opcode", id="relation_by_opcode"),
     pytest.param("any where child of [process where v < 6]", "subtype", id="relation_child_of"),
     pytest.param("any where child of [process where v < 9] and pid != 4", "subtype", id="relation_reset"),  # some starts are those of System
+    pytest.param("file where event of [process where v < 6]", "subtype", id="relation_event_of"),
 ])
 def test_scope_is_no_single_task(spark, processes, monkeypatch, text, lifecycle):
     """All events are of one scope, with 50 ids; no task gets most of them."""
